@@ -22,7 +22,9 @@ from .common import documents, prepare, public_id, table
 #: Labelled rows that fitting reads at most: half from each label, by least hash of the id.
 SAMPLE, RANK, NEIGHBOURS, THRESHOLD = 4000, 48, 25, 0.3
 _CLASSES, _WORD_BINS = 16, 2048
-_DIM = _CLASSES**3 + _WORD_BINS
+_DIM = _CLASSES**3 + _WORD_BINS + 1  # the last: a word that repeats the one before it
+#: Weight of the last feature, which is one of thousands but says what all of them say of other texts.
+_REPEAT_WEIGHT = 12
 _BLOCK = 256
 
 _CLASS = np.zeros(256, np.int32)
@@ -49,7 +51,10 @@ def counts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     low = W.lower(buf)
     w = W.split(low, off)
     if len(w.start):
-        out[:, _CLASSES**3 :] = np.bincount(w.text_of() * _WORD_BINS + (w.hashes() % np.uint64(_WORD_BINS)).astype(np.int64), minlength=n * _WORD_BINS).reshape(n, -1)
+        h, doc = w.hashes(), w.text_of()
+        out[:, _CLASSES**3 : -1] = np.bincount(doc * _WORD_BINS + (h % np.uint64(_WORD_BINS)).astype(np.int64), minlength=n * _WORD_BINS).reshape(n, -1)
+        again = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
+        out[:, -1] = np.bincount(doc[1:][again], minlength=n) / np.maximum(np.diff(w.first), 1)
     return out
 
 
@@ -57,6 +62,17 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def weighted(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Damped and normalised counts; the share of repeated words goes in by its own weight."""
+    repeats = x[:, -1].copy()
+    x = np.log1p(x)
+    x *= idf
+    x[:, -1] = 0
+    x = _normal(x)
+    x[:, -1] = repeats * _REPEAT_WEIGHT
+    return _normal(x)
+
+
 @dataclass
 class QualityModel:
     """Inverse document frequencies, projection, and the labelled vectors with their labels. Its size is bounded by SAMPLE."""
@@ -68,9 +84,7 @@ class QualityModel:
     neighbours: int
 
     def embed(self, x: np.ndarray) -> np.ndarray:
-        x = np.log1p(x)
-        x *= self.idf
-        return _normal(_normal(x) @ self.basis)
+        return _normal(weighted(x, self.idf) @ self.basis)
 
     def score(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Weighted share of label 1 among the nearest labelled vectors; texts without features get the labels' mean."""
@@ -129,9 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RA
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0)) + 1).astype(np.float32)
     if not len(x):
         return QualityModel(idf, np.zeros((_DIM, 1), np.float32), np.zeros((0, 1), np.float32), y, neighbours)
-    np.log1p(x, out=x)
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x = weighted(x, idf)
     q = np.random.default_rng(seed).standard_normal((_DIM, min(rank + 16, *x.shape)), np.float32)
     for _ in range(4):
         q = np.linalg.qr(x.T @ (x @ q))[0]
