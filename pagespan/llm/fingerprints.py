@@ -82,7 +82,7 @@ def with_next(docs: DataFrame, rows_per_bucket: int = 2048) -> DataFrame:
     low, high, n = low or 0, high or 0, n or 0
     width = max(1, (high - low + 1) * rows_per_bucket // max(n, 1))
     bucket = F.when(F.col("doc_id") == NO_ID, F.lit(-1)).otherwise(F.floor((F.col("doc_id") - low) / F.lit(width))).cast("long")
-    rows = rows.withColumn("bucket", bucket)
+    rows = rows.withColumn("bucket", F.coalesce(bucket, F.lit(-1)))  # never null, so both readers of the dealt rows share one exchange
     order = Window.partitionBy("bucket").orderBy(F.desc("doc_id"), "text")
     # one text for each range; each task sends one row a range at most
     firsts = durable(rows.groupBy("bucket").agg(F.min_by("text", F.struct(F.bitwise_not("doc_id"), F.col("text"))).alias("value")))

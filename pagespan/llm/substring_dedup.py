@@ -119,34 +119,39 @@ def _count(window: int):
             i = np.repeat(first[sk], per) + step
             rows.append((h1[i], h2[i], np.repeat(doc, per), np.repeat(pos.astype(np.int64), per) + step))
         h1, h2, doc, pos = (np.concatenate([r[i] for r in rows]) for i in range(4))
-        order = np.argsort(h1)
-        s = h1[order]
-        same = np.zeros(len(s) + 1, bool)
-        same[1:-1] = s[1:] == s[:-1]
-        order = order[same[1:] | same[:-1]]  # windows that occur once are done
-        h1, h2, doc, pos = h1[order], h2[order], doc[order], pos[order]
-        order = np.lexsort((pos, doc, h2, h1))
-        h1, h2, doc, pos = h1[order], h2[order], doc[order], pos[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else np.zeros(0, np.int64)
-        late = (doc > doc[lead]) | (pos > pos[lead])
-        first_doc, first_pos = doc[lead][late], pos[lead][late]
-        doc, pos = doc[late], pos[late]
-        order = np.lexsort((pos, doc))
-        doc, pos, first_doc, first_pos = doc[order], pos[order], first_doc[order], first_pos[order]
-        # adjacent windows of one document that repeat adjacent windows are one span
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + 1) | (first_doc[1:] != first_doc[:-1]) | (first_pos[1:] - first_pos[:-1] != pos[1:] - pos[:-1])
-        a = np.flatnonzero(new)
-        b = np.append(a[1:], len(doc)) - 1
-        if not len(doc):
-            a = b = np.zeros(0, np.int64)
-        return pa.table({"doc_id": pa.array(doc[a], pa.int64()), "start": pa.array(pos[a], pa.int64()), "stop": pa.array(pos[b] + window, pa.int64()), "first_doc_id": pa.array(first_doc[a], pa.int64()), "first_start": pa.array(first_pos[a], pa.int64())})
+        return late_spans(h1, h2, doc, pos, window)
 
     return count
 
 
+def late_spans(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, pos: np.ndarray, window: int) -> pa.Table:
+    """Spans of adjacent windows that also occur earlier, from the hashes and places of windows."""
+    order = np.argsort(h1)
+    s = h1[order]
+    same = np.zeros(len(s) + 1, bool)
+    same[1:-1] = s[1:] == s[:-1]
+    order = order[same[1:] | same[:-1]]  # windows that occur once are done
+    h1, h2, doc, pos = h1[order], h2[order], doc[order], pos[order]
+    order = np.lexsort((pos, doc, h2, h1))
+    h1, h2, doc, pos = h1[order], h2[order], doc[order], pos[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else np.zeros(0, np.int64)
+    late = (doc > doc[lead]) | (pos > pos[lead])
+    first_doc, first_pos = doc[lead][late], pos[lead][late]
+    doc, pos = doc[late], pos[late]
+    order = np.lexsort((pos, doc))
+    doc, pos, first_doc, first_pos = doc[order], pos[order], first_doc[order], first_pos[order]
+    # adjacent windows of one document that repeat adjacent windows are one span
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + 1) | (first_doc[1:] != first_doc[:-1]) | (first_pos[1:] - first_pos[:-1] != pos[1:] - pos[:-1])
+    a = np.flatnonzero(new)
+    b = np.append(a[1:], len(doc)) - 1
+    if not len(doc):
+        a = b = np.zeros(0, np.int64)
+    return pa.table({"doc_id": pa.array(doc[a], pa.int64()), "start": pa.array(pos[a], pa.int64()), "stop": pa.array(pos[b] + window, pa.int64()), "first_doc_id": pa.array(first_doc[a], pa.int64()), "first_start": pa.array(first_pos[a], pa.int64())})
+
+
 def _steps(n: np.ndarray) -> np.ndarray:
     """0 .. n[0]-1, 0 .. n[1]-1, ..."""
     total = int(n.sum())
