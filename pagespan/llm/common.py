@@ -31,12 +31,17 @@ def public_id(c: str = "doc_id") -> Column:
     return F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a reliable checkpoint in the shared folder that spark.checkpoint.dir names."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, as in tests, one of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagespan-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df cut from its lineage by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -98,15 +98,15 @@ def output_loss(p: dict, cut: np.ndarray, h: np.ndarray, target: np.ndarray, gra
     return out, dh
 
 
-def streams(docs: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents dealt to n streams, longest first, each to the shortest: tokens and document of each stream's steps
+def streams(docs: list[np.ndarray], n: int, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents dealt to n streams in some order (unset: longest first), each to the shortest: tokens and document of each stream's steps
     (-1 past its end), and the streams' lengths, which descend."""
     import heapq
 
     size = np.array([len(d) for d in docs], np.int64)
     heap = [(0, i) for i in range(min(n, len(docs)))]
     own: list[list[int]] = [[] for _ in heap]
-    for d in np.argsort(-size, kind="stable").tolist():
+    for d in (np.argsort(-size, kind="stable") if order is None else order).tolist():
         length, s = heapq.heappop(heap)
         own[s].append(d)
         heapq.heappush(heap, (length + int(size[d]), s))
@@ -156,19 +156,22 @@ def score(p: dict, cut: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
 class Trainer:
     """Truncated backpropagation with Adam. Documents come in lots; the weights and moments go on."""
 
-    def __init__(self, p: dict, cut: np.ndarray, rate: float = 4e-3) -> None:
+    def __init__(self, p: dict, cut: np.ndarray, rate: float = 1e-2) -> None:
         self.p, self.cut, self.rate, self.n, self.tokens = p, cut, rate, 0, 0
         self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
 
     def learn(self, docs: list[np.ndarray]) -> None:
         if not docs:
             return
-        token, doc, length = streams(docs, STREAMS)
+        # in mixed order, so that no window sees documents of one length only
+        token, doc, length = streams(docs, STREAMS, np.random.default_rng(len(docs)).permutation(len(docs)))
         start = len(self.p["emb"]) - 1
         h = np.zeros((token.shape[1], HIDDEN), np.float32)
         last, past = np.full(token.shape[1], start), np.full(token.shape[1], -1)
         for t in range(0, len(token), STEPS):
             m = int((length > t).sum())
+            if 2 * m < token.shape[1]:
+                break  # what is left of a few long documents alone would pull the weights to them
             h, last, past = self._window(token[t : t + STEPS, :m], doc[t : t + STEPS, :m], h[:m], last[:m], past[:m], start)
 
     def _window(self, x, d, h, last, past, start):
@@ -215,11 +218,12 @@ class Trainer:
     def _step(self, grad, n):
         self.n += 1
         self.tokens += n
-        size = np.sqrt(sum(float((g * g).sum()) for g in grad.values())) / n
-        scale = min(1.0, 1.0 / max(size, 1e-9)) / n
+        full = STREAMS * STEPS  # windows that hold fewer tokens count for less
+        size = np.sqrt(sum(float((g * g).sum()) for g in grad.values())) / full
+        scale = min(1.0, 1.0 / max(size, 1e-9)) / full
         fix = np.sqrt(1 - 0.999**self.n) / (1 - 0.9**self.n)
         for k, g in grad.items():
             g *= scale
             self.m[k] += 0.1 * (g - self.m[k])
             self.v[k] += 0.001 * (g * g - self.v[k])
-            self.p[k] -= self.rate * fix * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)
+            self.p[k] -= self.rate * fix * self.m[k] / (np.sqrt(self.v[k]) + 1e-5)  # a large floor: units that are hardly seen hardly move

@@ -166,19 +166,19 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     return documents(docs).mapInArrow(score, "doc_id long, score double").select(public_id(), "score")
 
 
-def with_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """docs with a column quality_score; all other columns pass through."""
+def accepted(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score is `threshold` or more, with all their columns; docs' order and columns stay."""
     prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select("*", F.lit(0.0).alias("quality_score")).schema
+    at = docs.columns.index("text")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, buf, off in _rows(batch):
+            for i, j in W.slices(batch.column(at), 2 << 20):
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held.value.score(buf, off))], [*part.schema.names, "quality_score"])
+                yield part.filter(pa.array(held.value.score(*W.raw(part.column(at))) >= threshold))
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+from .decontamination import op7_decontamination
 from .fingerprints import op6_fingerprints
+from .jaccard_join import op9_jaccard_join
+from .line_dedup import op8_line_dedup
+from .lm_scoring import op2_lm_scoring
 from .packing import op5_packing
 from .quality import op10_quality
 from .secrets import op3_secrets
 from .substring_dedup import op4_substring_dedup
+from .suffix_dedup import op1_suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_secrets": op3_secrets,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_packing": op5_packing,
         "op6_fingerprints": op6_fingerprints,
+        "op7_decontamination": op7_decontamination,
+        "op8_line_dedup": op8_line_dedup,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_quality": op10_quality,
     }
 
