@@ -81,7 +81,7 @@ def _blobs(held, n_bucket: int) -> pa.RecordBatch:
     group = np.flatnonzero(lead)
     count = np.diff(np.append(group, len(order)))
     cut = np.flatnonzero(np.append(True, bucket[group][1:] != bucket[group][:-1]))
-    z, out = zstandard.ZstdCompressor(level=1), []
+    z, out = zstandard.ZstdCompressor(level=3), []
     for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(group)], strict=True):
         s, e = int(group[x]), int(group[y]) if y < len(group) else len(order)
         own = [text[i] for i in order[group[x:y]].tolist()]
