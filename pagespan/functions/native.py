@@ -115,7 +115,7 @@ def retry_after(value: Column, now: Column, most_seconds: int = 300) -> Column:
     parts = F.regexp_extract(v, r"^[A-Za-z]+, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1)
     date = F.try_to_timestamp(F.nullif(parts, F.lit("")), F.lit("dd MMM yyyy HH:mm:ss"))
     delay = F.coalesce(seconds, F.when(date.isNotNull(), F.greatest(F.lit(0), F.unix_seconds(date) - F.unix_seconds(now.cast("timestamp")))))
-    return after(now, F.least(delay, F.lit(most_seconds)))
+    return F.when(delay.isNotNull(), after(now, F.least(delay, F.lit(most_seconds))))
 
 
 # Labels of the report.
