@@ -1,20 +1,25 @@
 """Exact similarity join on word shingles with a prefix tree.
 
-All shingles have one global order: those that many documents hold come last, the others go by hash. Two sets of
-the wanted similarity share a shingle among the first few of each (prefix filter), so sets meet by those alone.
-Sets that meet, directly or over others, are then joined exactly: they are stored in a prefix tree whose edges hold
-runs of shingles, and each set walks the tree once, sharing the overlap counted so far among all sets below an
-edge, and leaving subtrees that the remaining length can't bring to the wanted overlap or that are linked already.
+All shingles have one global order, rare ones first. Their document counts are found without a table of shingles on
+any machine: each share of the corpus sends its shingles to buckets by hash and gets classes of their counts back.
+Two sets of the wanted similarity share a shingle among the first few of each (prefix filter), and shingles that one
+document alone holds are shared by none, so sets meet by few shingles. Sets that meet, directly or over others, are
+then joined exactly: they are stored in a prefix tree whose edges hold runs of shingles, and each set walks the tree
+once, sharing the overlap counted so far among all sets below an edge, and leaving subtrees that the remaining
+length can't bring to the wanted overlap or that are linked already.
 
 Equal sets are one set from the start, so groups of copies cost one set. Links are kept as spanning trees.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +28,10 @@ from .common import documents, durable, partitions, prepare, public_id, table
 from .components import components, local_components
 
 SHINGLE, NUM, DEN = 5, 75, 100
-#: Shingles that come last in the order: a bounded number, those found oftest. They change the work, not the result.
-FREQUENT, LOCAL_COUNT = 1 << 18, 8
 #: Shingles of one group of sets that a task joins at once; larger groups are dealt out in pairs of blocks.
 BLOCK = 12_000_000
-FLUSH = 32 << 20
+CHUNK = 8 << 20
+_KEY_BITS = 24  # of a shingle's hash within its bucket; collisions only move a shingle in the order
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -65,84 +69,121 @@ def _set_keys(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
-_SURVEY = "doc_id long, n long, k1 long, k2 long, shingle long"
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of about CHUNK bytes of text, compressed."""
+    base, n, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
 
-
-def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document (n not null) and for each shingle that several documents of a task's share hold."""
-    held, size = [], 0
-
-    def often():
-        value, count = np.unique(np.concatenate(held), return_counts=True)
-        keep = count >= LOCAL_COUNT
-        m = int(keep.sum())
-        none = pa.nulls(m, pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, pa.array(count[keep].astype(np.int64)), none, pa.array(value[keep].view(np.int64))], ["doc_id", "n", "k1", "k2", "shingle"])
+    def row():
+        ids = np.concatenate([x[0] for x in held])
+        lens = np.concatenate([np.diff(x[2]) for x in held])
+        blob = struct.pack("<i", len(ids)) + ids.astype(np.int64).tobytes() + lens.astype(np.int64).tobytes() + b"".join(x[1].tobytes() for x in held)
+        return pa.RecordBatch.from_arrays([pa.array([base + n]), pa.array([zstandard.ZstdCompressor(level=1).compress(blob)], pa.binary())], ["chunk", "blob"])
 
     for batch in batches:
-        for i, j in W.slices(batch.column(1)):
-            h, first = shingle_sets(*W.raw(batch.column(1).slice(i, j - i)))
-            k1, k2 = _set_keys(h, first)
-            # copies in one share count once: what they hold is not frequent for that
-            _, one = np.unique(k1, return_index=True)
-            held += [h[first[x] : first[x + 1]] for x in one.tolist()]
-            size += len(h)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(first).astype(np.int64)), pa.array(k1), pa.array(k2), pa.nulls(j - i, pa.int64())], ["doc_id", "n", "k1", "k2", "shingle"])
-            if size > 4_000_000:
-                yield often()
-                held, size = [], 0
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for i, j in W.slices(batch.column(1), CHUNK // 4):
+            held.append((ids[i:j], *W.raw(batch.column(1).slice(i, j - i))))
+            size += len(held[-1][1]) + 16 * (j - i)
+            if size >= CHUNK:
+                yield row()
+                n, held, size = n + 1, [], 0
     if held:
-        yield often()
-
-
-def _ordered(h: np.ndarray, first: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The sets' shingles in global order: frequent ones last."""
-    if not len(frequent) or not len(h):
-        return h
-    last = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    return h[np.argsort(doc * 2 + last, kind="stable")]
-
-
-def _postings(n_bucket: int, frequent):
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, set()
-
-        def blobs():
-            t, k, n = (np.concatenate([x[i] for x in held]) for i in range(3))
-            bucket = (t % np.uint64(n_bucket)).astype(np.int64)
-            order = np.argsort(bucket.astype(np.uint16) if n_bucket < 1 << 16 else bucket, kind="stable")
-            bucket = bucket[order]
-            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            out = []
-            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=True):
-                i = order[a:b]
-                out.append(t[i].tobytes() + k[i].tobytes() + n[i].tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array(out, pa.binary())], ["bucket", "blob"])
+        yield row()
+
+
+class Chunk:
+    """Documents of a chunk: ids, sets, set keys; `one` are the documents whose set is the first of its kind here."""
+
+    def __init__(self, blob: bytes) -> None:
+        x = zstandard.ZstdDecompressor().decompress(blob)
+        (n,) = struct.unpack_from("<i", x)
+        self.ids = np.frombuffer(x, np.int64, n, 4)
+        off = np.concatenate([[0], np.cumsum(np.frombuffer(x, np.int64, n, 4 + 8 * n))])
+        self.h, self.first = shingle_sets(np.frombuffer(x, np.uint8, offset=4 + 16 * n), off)
+        self.n = np.diff(self.first)
+        self.k1, self.k2 = _set_keys(self.h, self.first)
+        _, one = np.unique(self.k1, return_index=True)
+        self.one = np.zeros(n, bool)
+        self.one[one] = True
+
+    def shingles(self, n_bucket: int):
+        """Bucket and key in it of the shingles of `one`, in order of both; and where each shingle of h is among them."""
+        use = np.repeat(self.one, self.n)
+        value, at = np.unique((self.h[use] % np.uint64(n_bucket)) << np.uint64(32) | (self.h[use] >> np.uint64(64 - _KEY_BITS)), return_inverse=True)
+        return value, use, at
+
+
+def _ask(n_bucket: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                value, _, at = Chunk(blob.as_py()).shingles(n_bucket)
+                count = np.minimum(np.bincount(at, minlength=len(value)), 255).astype(np.uint8)
+                bucket, key = (value >> np.uint64(32)).astype(np.int64), (value & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+                out = []
+                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=False):
+                    step = np.diff(key[a:b], prepend=0).astype(np.uint32)
+                    out.append(z.compress(struct.pack("<i", b - a) + step.view(np.uint8).reshape(-1, 4).T.tobytes() + count[a:b].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array([chunk] * len(cut), pa.int64()), pa.array(out, pa.binary())], ["bucket", "chunk", "blob"])
+
+    return ask
+
+
+def _answer(t: pa.Table) -> pa.Table:
+    """Class of each shingle's document count, twice its logarithm, for each chunk that asked."""
+    d, z = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+    keys, counts = [], []
+    for blob in t.column("blob"):
+        x = d.decompress(blob.as_py())
+        (n,) = struct.unpack_from("<i", x)
+        step = np.ascontiguousarray(np.frombuffer(x, np.uint8, 4 * n, 4).reshape(4, n).T).view(np.uint32).ravel()
+        keys.append(np.cumsum(step, dtype=np.int64))
+        counts.append(np.frombuffer(x, np.uint8, n, 4 + 4 * n))
+    total = np.zeros(1 << _KEY_BITS, np.int32)
+    for k, c in zip(keys, counts, strict=True):
+        total[k] += c  # a chunk names each key once
+    grades = [np.minimum(2 * np.log2(total[k]), 255).astype(np.uint8) for k in keys]
+    return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "blob": pa.array([z.compress(g.tobytes()) for g in grades], pa.binary())})
+
 
+_POSTED = "doc_id long, n long, k1 long, k2 long, items binary, bucket int, blob binary"
+
+
+def _post(n_bucket: int):
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = zstandard.ZstdDecompressor()
+        names = [c.split()[0] for c in _POSTED.split(", ")]
         for batch in batches:
-            for i, j in W.slices(batch.column(1)):
-                h, first = shingle_sets(*W.raw(batch.column(1).slice(i, j - i)))
-                k1, _ = _set_keys(h, first)
-                n = np.diff(first)
-                h = _ordered(h, first, frequent.value)
-                p = np.where(n > 0, n - (NUM * n + DEN - 1) // DEN + 1, 0)
-                fresh = np.zeros(len(n), bool)
-                for x, key in enumerate(k1.tolist()):  # copies within a share post once
-                    if key not in seen:
-                        seen.add(key)
-                        fresh[x] = True
-                p = np.where(fresh, p, 0)
-                at = np.repeat(first[:-1], p) + np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
-                held.append((h[at], np.repeat(k1, p), np.repeat(n, p).astype(np.int32)))
-                size += 20 * int(p.sum())
-                if size > FLUSH:
-                    yield blobs()
-                    held, size, seen = [], 0, set()
-        if held and size:
-            yield blobs()
-
-    return postings
+            for blob, answers in zip(batch.column("blob"), batch.column("answers"), strict=True):
+                c = Chunk(blob.as_py())
+                _, use, at = c.shingles(n_bucket)
+                got = sorted(answers.as_py() or [], key=lambda x: x["bucket"])
+                grade = np.zeros(len(c.h), np.uint8)
+                if got:
+                    grade[use] = np.concatenate([np.frombuffer(d.decompress(x["blob"]), np.uint8) for x in got])[at]
+                doc = np.repeat(np.arange(len(c.n)), c.n)
+                p = np.where(c.one & (c.n > 0), c.n - (NUM * c.n + DEN - 1) // DEN + 1, 0)
+                order = np.argsort(doc * 256 + grade, kind="stable")  # by hash among equal grades
+                place = np.arange(len(order)) - c.first[doc]
+                mine = order[(place < p[doc]) & (grade[order] > 0)]
+                held = np.zeros(len(c.n), bool)
+                held[doc[mine]] = True
+                items = [c.h[a:b].tobytes() if k else None for a, b, k in zip(c.first[:-1].tolist(), c.first[1:].tolist(), held.tolist(), strict=True)]
+                for s in range(0, len(c.n), 512):
+                    e = min(s + 512, len(c.n))
+                    yield pa.RecordBatch.from_arrays([pa.array(c.ids[s:e]), pa.array(c.n[s:e]), pa.array(c.k1[s:e]), pa.array(c.k2[s:e]), pa.array(items[s:e], pa.binary()), pa.nulls(e - s, pa.int32()), pa.nulls(e - s, pa.binary())], names)
+                t = c.h[mine]
+                bucket = (t % np.uint64(n_bucket)).astype(np.int64)
+                o = np.argsort(bucket, kind="stable")
+                bucket, t, own = bucket[o], t[o], doc[mine][o]
+                cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+                out = [t[a:b].tobytes() + c.k1[own[a:b]].tobytes() + c.n[own[a:b]].astype(np.int32).tobytes() for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=False)]
+                none = pa.nulls(len(cut), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(cut), pa.binary()), pa.array(bucket[cut].astype(np.int32)), pa.array(out, pa.binary())], names)
+
+    return post
 
 
 def _meet(t: pa.Table) -> pa.Table:
@@ -256,35 +297,15 @@ def join_sets(sets: list[np.ndarray], left: int | None = None) -> list[tuple[int
     return links
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate documents with their sets, once for each pair of blocks that needs them."""
-    for batch in batches:
-        for i, j in W.slices(batch.column("text"), 1 << 20):
-            part = batch.slice(i, j - i)
-            h, first = shingle_sets(*W.raw(part.column("text")))
-            own = [h[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            block, blocks = part.column("block").to_pylist(), part.column("blocks").to_pylist()
-            row, x, y = [], [], []
-            for k, (b, m) in enumerate(zip(block, blocks, strict=True)):
-                for other in range(m):
-                    row.append(k)
-                    x.append(min(b, other))
-                    y.append(max(b, other))
-            at = pa.array(row, pa.int64())
-            for s in range(0, len(row), 512):
-                z = slice(s, s + 512)
-                yield pa.RecordBatch.from_arrays([part.column("group").take(at[z]), pa.array(x[z], pa.int32()), pa.array(y[z], pa.int32()), part.column("doc_id").take(at[z]), pa.array([block[k] for k in row[z]], pa.int32()), pa.array([own[k] for k in row[z]], pa.binary())], ["group", "x", "y", "doc_id", "block", "items"])
-
-
 def _link(t: pa.Table) -> pa.Table:
     x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
-    block = t.column("block").to_numpy()
-    order = np.argsort(block != x, kind="stable")  # the first block's sets come first
-    t = t.take(pa.array(order))
-    ids = t.column("doc_id").to_numpy()
-    sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in t.column("items")]
-    links = join_sets(sets, None if x == y else int((block == x).sum()))
-    a, b = (np.array([ids[p[i]] for p in links], np.int64) for i in (0, 1))
+    key, block = t.column("k1").to_numpy(), t.column("block").to_numpy()
+    _, one = np.unique(key, return_index=True)  # copies from several chunks
+    one = one[np.argsort(block[one] != x, kind="stable")]  # the first block's sets come first
+    items = t.column("items").take(pa.array(one))
+    sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in items]
+    links = join_sets(sets, None if x == y else int((block[one] == x).sum()))
+    a, b = (np.array([key[one[p[i]]] for p in links], np.int64) for i in (0, 1))
     return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
 
@@ -300,26 +321,30 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     prepare(spark)
     rows = documents(docs)
     n = 4 * partitions(spark)
-    survey = durable(rows.mapInArrow(_survey, _SURVEY))
-    known = survey.where("n is not null").select("doc_id", "n", "k1", "k2")
-    often = survey.where("n is null").groupBy("shingle").agg(F.sum("k1").alias("times")).orderBy(F.desc("times"), "shingle").limit(FREQUENT)
-    frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often.select("shingle").collect()], np.int64).view(np.uint64)))  # FREQUENT numbers at most
-
-    met = rows.mapInArrow(_postings(n, frequent), "bucket int, blob binary").groupBy("bucket").applyInArrow(_meet, "a long, b long")
-    groups = components(met)
-    classes = known.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
-    members = classes.join(groups.withColumnRenamed("node", "k1").withColumnRenamed("component", "group"), "k1").select("group", "rep", "n")
-    members = durable(members)
+    chunks = durable(rows.mapInArrow(_chunks, "chunk long, blob binary"))
+    asked = chunks.mapInArrow(_ask(n), "bucket int, chunk long, blob binary")
+    answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, blob binary")
+    per = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "blob")).alias("answers"))
+    posted = durable(chunks.join(per.hint("shuffle_hash"), "chunk", "left").select("blob", "answers").mapInArrow(_post(n), _POSTED))
+    known = posted.where("n is not null").select("doc_id", "n", "k1", "k2")
+
+    met = posted.where("n is null").select("bucket", "blob").groupBy("bucket").applyInArrow(_meet, "a long, b long")
+    groups = components(met).select(F.col("node").alias("k1"), F.col("component").alias("group"))
+    members = durable(posted.where("items is not null").select("k1", "n").distinct().join(groups, "k1"))
     weight = members.groupBy("group").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = members.join(weight, "group").select("group", F.col("rep").alias("doc_id"), "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")).distinct()
-    near = rows.join(placed.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "group", "blocks", "block")
-    sets = near.mapInArrow(_sets, "group long, x int, y int, doc_id long, block int, items binary")
+    placed = members.join(weight, "group").select("group", "k1", "blocks", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int").alias("block"))
+    sets = posted.where("items is not null").select("k1", "items").join(placed, "k1")
+    # a set of a group of many blocks goes to every pair of blocks that its own is in
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    sets = sets.select("group", "k1", "block", "items", other.alias("other")).select("group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "k1", "block", "items")
     links = sets.groupBy("group", "x", "y").applyInArrow(_link, "a long, b long")
-    linked = components(links)
+    linked = components(links).select(F.col("node").alias("k1"), "component")
 
-    own = known.join(classes, ["k1", "k2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
-    out = own.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    return out.select(public_id(), "n_shingles", public_id("component_id"))
+    classes = known.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")).join(linked, "k1", "left")
+    lowest = classes.where("component is not null").groupBy("component").agg(F.min("rep").alias("low"))
+    classes = classes.join(lowest, "component", "left").select("k1", "k2", "n", F.coalesce("low", "rep").alias("component_id"))
+    out = known.join(classes, ["k1", "k2", "n"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select(public_id(), F.col("n").alias("n_shingles"), public_id("component_id"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
