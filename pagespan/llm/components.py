@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import written
 
 
 def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,22 +33,27 @@ def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) for the nodes of edges (a, b: long).
 
-    Each round every node takes its least neighbour as parent, and the edges between different parents go on to the
-    next round, fewer by half at least; parents are composed at the end of each round. All state is in checkpoints.
+    Each round the nodes get an order by hash anew, every node takes the first of itself and its neighbours as parent,
+    and the edges between different parents go on to the next round: fewer by a share, on long paths too. Parents are
+    composed at the end of each round. All state is in tables, so plans and their size estimates don't grow.
     """
-    left = durable(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    label = None
+    left = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    label, turn = None, 0
     while not left.isEmpty():
+        rank = lambda c, t=turn: F.xxhash64(c, F.lit(t))
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("parent")))
+        first = both.groupBy("a").agg(F.min_by("b", rank("b")).alias("m"))
+        parent = written(first.select(F.col("a").alias("node"), F.when(rank("a") <= rank("m"), F.col("a")).otherwise(F.col("m")).alias("parent")))
         if label is None:
             label = parent.withColumnRenamed("parent", "component")
         else:
             step = parent.select(F.col("node").alias("component"), "parent")
-            label = durable(label.join(step, "component", "left").select("node", F.coalesce("parent", "component").alias("component")))
-        pa_, pb = parent.select(F.col("node").alias("a"), F.col("parent").alias("pa")), parent.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
-        moved = left.join(pa_, "a").join(pb, "b").where("pa <> pb")
-        left = durable(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+            label = written(label.join(step, "component", "left").select("node", F.coalesce("parent", "component").alias("component")))
+        of_a, of_b = parent.select(F.col("node").alias("a"), F.col("parent").alias("pa")), parent.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
+        moved = left.join(of_a, "a").join(of_b, "b").where("pa <> pb")
+        left = written(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        turn += 1
     if label is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
-    return label
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    low = label.groupBy("component").agg(F.min("node").alias("low"))
+    return label.join(low, "component").select("node", F.col("low").alias("component"))
