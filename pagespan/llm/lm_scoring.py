@@ -242,7 +242,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     prepare(spark)
-    n = 4 * partitions(spark)
+    n = partitions(spark)  # chunks times buckets messages go each way, so no more buckets than tasks
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(held_out, F.lit(False)).cast("int").alias("held"), F.coalesce("text", F.lit("")).alias("text"))
     chunks = durable(rows.mapInArrow(_chunks, "chunk long, blob binary"))
     asked = chunks.mapInArrow(_ask(n), "bucket int, chunk long, blob binary")
