@@ -107,7 +107,7 @@ def _count(window: int):
             w = W.split(buf, np.concatenate([[0], np.cumsum(lens, dtype=np.int64)]))
             h = w.hashes()
             nw = np.diff(w.first) - window + 1
-            start = np.repeat(w.first[:-1], nw) + _steps(nw)
+            start = np.repeat(w.first[:-1], nw) + steps(nw)
             parts.append((W.rolling(h, window)[start], W.rolling(h ^ np.uint64(0x5851F42D4C957F2D), window, 0xD1342543DE82EF95)[start], nw, times, doc, pos))
         # one entry for each window and place: windows of super-k-mer i, place j
         rows = []
@@ -115,7 +115,7 @@ def _count(window: int):
             sk = np.repeat(np.arange(len(nw)), times)  # super-k-mer of each place
             per = nw[sk]
             first = np.concatenate([[0], np.cumsum(nw)])[:-1]
-            step = _steps(per)
+            step = steps(per)
             i = np.repeat(first[sk], per) + step
             rows.append((h1[i], h2[i], np.repeat(doc, per), np.repeat(pos.astype(np.int64), per) + step))
         h1, h2, doc, pos = (np.concatenate([r[i] for r in rows]) for i in range(4))
@@ -152,7 +152,7 @@ def late_spans(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, pos: np.ndarray,
     return pa.table({"doc_id": pa.array(doc[a], pa.int64()), "start": pa.array(pos[a], pa.int64()), "stop": pa.array(pos[b] + window, pa.int64()), "first_doc_id": pa.array(first_doc[a], pa.int64()), "first_start": pa.array(first_pos[a], pa.int64())})
 
 
-def _steps(n: np.ndarray) -> np.ndarray:
+def steps(n: np.ndarray) -> np.ndarray:
     """0 .. n[0]-1, 0 .. n[1]-1, ..."""
     total = int(n.sum())
     return np.arange(total) - np.repeat(np.cumsum(n) - n, n)

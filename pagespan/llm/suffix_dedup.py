@@ -6,7 +6,8 @@ hash, and those that occur once are dropped. The others travel with the words ar
 sorted, neighbours are compared, those whose longest common prefix is too short for a passage are dropped, and the
 others are extended to the left and right to all passages of PASSAGE words around the anchor.
 
-A bucket holds an anchor's places, not texts that grow with documents: PASSAGE words to the right and the rest to
+Equal contexts of an anchor travel once with their places, are compared once, and are late as a whole at all places
+but the first. A bucket holds an anchor's places, not texts that grow with documents: PASSAGE words to the right and the rest to
 the left suffice, as longer repeats are chains of passages.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .common import documents, partitions, prepare, public_id, table
-from .substring_dedup import late_spans
+from .substring_dedup import steps
 
 PASSAGE, ANCHOR = 50, 25
 FLUSH = 16 << 20
@@ -46,45 +47,93 @@ def anchors(w: W.Words, h: np.ndarray, passage: int, anchor: int) -> tuple[np.nd
 
 
 def _find(n_bucket: int, passage: int, anchor: int):
+    """Places of anchors by bucket of the anchor's hash, compressed."""
+
+    def blobs(held) -> pa.RecordBatch:
+        g, doc, pos = (np.concatenate([x[k] for x in held]) for k in range(3))
+        bucket = (g % np.uint64(n_bucket)).astype(np.int64)
+        order = np.lexsort((pos, doc, g, bucket))
+        bucket, g, doc, pos = bucket[order], g[order], doc[order], pos[order]
+        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        z = zstandard.ZstdCompressor(level=1)
+        out = [z.compress(struct.pack("<i", j - i) + g[i:j].tobytes() + doc[i:j].astype(np.int64).tobytes() + pos[i:j].astype(np.int32).tobytes()) for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(g)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array(out, pa.binary())], ["bucket", "blob"])
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j in W.slices(batch.column(1)):
                 w = W.split(*W.raw(batch.column(1).slice(i, j - i)))
                 p, g = anchors(w, w.hashes(), passage, anchor)
+                if not len(p):
+                    continue
                 doc = w.text_of()[p]
-                yield pa.RecordBatch.from_arrays([pa.array((g % np.uint64(n_bucket)).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(ids[i:j][doc]), pa.array(p - w.first[doc])], ["bucket", "key", "doc_id", "pos"])
+                held.append((g, ids[i:j][doc], p - w.first[doc]))
+                size += 20 * len(p)
+                if size > FLUSH:
+                    yield blobs(held)
+                    held, size = [], 0
+        if held:
+            yield blobs(held)
 
     return find
 
 
 def _repeated(t: pa.Table) -> pa.Table:
-    """Places of the anchors that occur at two places at least."""
-    key = t.column("key").to_numpy()
+    """Places of the anchors that occur at two places at least, one row for each document."""
+    d, key, doc, pos = zstandard.ZstdDecompressor(), [], [], []
+    for blob in t.column("blob"):
+        x = d.decompress(blob.as_py())
+        (n,) = struct.unpack_from("<i", x)
+        key.append(np.frombuffer(x, np.uint64, n, 4))
+        doc.append(np.frombuffer(x, np.int64, n, 4 + 8 * n))
+        pos.append(np.frombuffer(x, np.int32, n, 4 + 16 * n))
+    key, doc, pos = map(np.concatenate, (key, doc, pos))
     order = np.argsort(key, kind="stable")
     s = key[order]
     same = np.zeros(len(s) + 1, bool)
     same[1:-1] = s[1:] == s[:-1]
-    return t.select(["doc_id", "pos"]).take(pa.array(np.sort(order[same[1:] | same[:-1]])))
+    order = order[same[1:] | same[:-1]]
+    order = order[np.lexsort((pos[order], doc[order]))]
+    doc, pos = doc[order], pos[order]
+    cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    return pa.table({"doc_id": pa.array(doc[cut]), "pos": pa.ListArray.from_arrays(pa.array(np.append(cut, len(doc)).astype(np.int32)), pa.array(pos.astype(np.int64)))})
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by the keys, the last first; and where runs of equal keys begin in it."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    return order, np.flatnonzero(new)
 
 
 def _context(n_bucket: int, passage: int, anchor: int):
+    """Words around anchors, by bucket of the anchor's hash: equal contexts once, with all their places."""
     left = passage - anchor
+    q, qi = 0xA0761D6478BD642F, W.inverse(0xA0761D6478BD642F)
 
     def blobs(held) -> pa.RecordBatch:
-        key = np.concatenate([x[0] for x in held])
-        cols = [np.concatenate([x[k] for x in held]) for k in (1, 2, 3)]
-        text = [t for x in held for t in x[4]]
+        key, ctx, before = (np.concatenate([x[k] for x in held]) for k in range(3))
+        times, text = np.concatenate([x[3] for x in held]), [t for x in held for t in x[4]]
+        doc, pos = (np.concatenate([x[k] for x in held]) for k in (5, 6))
+        at = np.cumsum(times) - times  # first place of each context
         bucket = (key % np.uint64(n_bucket)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bucket = bucket[order]
-        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        order, lead = _runs(before, ctx, key, bucket)
+        end = np.append(lead[1:], len(order))
+        kept = order[lead]
+        of = bucket[kept]
+        cut = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
         z, out = zstandard.ZstdCompressor(level=1), []
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=True):
-            i = order[a:b]
-            own = [text[k] for k in i.tolist()]
-            out.append(z.compress(struct.pack("<i", b - a) + key[i].tobytes() + b"".join(c[i].astype(np.int64).tobytes() for c in cols) + np.array([len(x) for x in own], np.int64).tobytes() + b"".join(own)))
-        return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array(out, pa.binary())], ["bucket", "blob"])
+        for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(kept)], strict=True):
+            own, part = kept[x:y], order[lead[x] : end[y - 1]]
+            places = np.repeat(at[part], times[part]) + steps(times[part])
+            count = np.add.reduceat(times[part], lead[x:y] - lead[x])
+            texts = [text[k] for k in own.tolist()]
+            lens = np.array([len(s) for s in texts], np.int32)
+            out.append(z.compress(struct.pack("<ii", y - x, len(places)) + key[own].tobytes() + ctx[own].tobytes() + before[own].astype(np.int32).tobytes() + count.astype(np.int32).tobytes() + lens.tobytes() + doc[places].astype(np.int64).tobytes() + pos[places].astype(np.int32).tobytes() + b"".join(texts)))
+        return pa.RecordBatch.from_arrays([pa.array(of[cut].astype(np.int32)), pa.array(out, pa.binary())], ["bucket", "blob"])
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -101,11 +150,16 @@ def _context(n_bucket: int, passage: int, anchor: int):
                 p, doc = p[ok], doc[ok]
                 if not len(p):
                     continue
-                g = W.rolling(w.hashes(), anchor)[p]
+                h = w.hashes()
+                g = W.rolling(h, anchor)[p]
                 a, b = np.maximum(p - left, w.first[doc]), np.minimum(p + passage, w.first[doc + 1])
-                raw = w.buf.tobytes()
-                held.append((g, ids[i:j][doc], p - w.first[doc], p - a, [raw[s:e] for s, e in zip(w.start[a].tolist(), w.end[b - 1].tolist(), strict=True)]))
-                size += sum(map(len, held[-1][4]))
+                cum = np.zeros(len(h) + 1, np.uint64)
+                np.cumsum(h * W.powers(q, len(h)), out=cum[1:])
+                ctx = W.mix((cum[b] - cum[a]) * W.powers(qi, len(h) + 1)[a] + (b - a).astype(np.uint64))
+                order, lead = _runs(p - a, ctx, g)
+                k, data = order[lead], memoryview(w.buf.tobytes())
+                held.append((g[k], ctx[k], (p - a)[k], np.diff(np.append(lead, len(order))), [bytes(data[s:e]) for s, e in zip(w.start[a[k]].tolist(), w.end[b[k] - 1].tolist(), strict=True)], ids[i:j][doc][order], (p - w.first[doc])[order]))
+                size += sum(map(len, held[-1][4])) + 12 * len(order)
                 if size > FLUSH:
                     yield blobs(held)
                     held, size = [], 0
@@ -118,57 +172,99 @@ def _context(n_bucket: int, passage: int, anchor: int):
 def _sort(passage: int, anchor: int):
     left, width = passage - anchor, 2 * passage - anchor
 
-    def compare(t: pa.Table) -> pa.Table:
+    def read(t: pa.Table):
+        """Distinct contexts (key, words before the anchor, text) and the places of each, the earliest first."""
         d = zstandard.ZstdDecompressor()
-        key, cols, rows, texts = [], [], [], []
+        cols, text = [[] for _ in range(6)], []
         for blob in t.column("blob"):
             x = d.decompress(blob.as_py())
-            (n,) = struct.unpack_from("<i", x)
-            key.append(np.frombuffer(x, np.uint64, n, 4))
-            cols.append(np.frombuffer(x, np.int64, 3 * n, 4 + 8 * n).reshape(3, n))
-            lens = np.frombuffer(x, np.int64, n, 4 + 32 * n)
-            texts.append((np.frombuffer(x, np.uint8, offset=4 + 40 * n), np.concatenate([[0], np.cumsum(lens)])))
-        key, (doc, pos, before) = np.concatenate(key), np.concatenate(cols, axis=1)
+            n, occ = struct.unpack_from("<ii", x)
+            lens, at = np.frombuffer(x, np.int32, n, 8 + 24 * n), 8 + 28 * n
+            for col, part in zip(cols, (np.frombuffer(x, np.uint64, n, 8), np.frombuffer(x, np.uint64, n, 8 + 8 * n), np.frombuffer(x, np.int32, n, 8 + 16 * n), np.frombuffer(x, np.int32, n, 8 + 20 * n), np.frombuffer(x, np.int64, occ, at), np.frombuffer(x, np.int32, occ, at + 8 * occ)), strict=True):
+                col.append(part)
+            end = at + 12 * occ + np.cumsum(lens)
+            text += [x[s:e] for s, e in zip((end - lens).tolist(), end.tolist(), strict=True)]
+        key, ctx, before, times, doc, pos = map(np.concatenate, cols)
+        order, lead = _runs(before, ctx, key)
+        kind = np.empty(len(order), np.int64)
+        kind[order] = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(order))))
+        k = order[lead]
+        kind = np.repeat(kind, times)
+        o = np.lexsort((pos, doc, kind))
+        return key[k], before[k].astype(np.int64), [text[i] for i in k.tolist()], kind[o], doc[o], pos[o].astype(np.int64)
+
+    def compare(t: pa.Table) -> pa.Table:
+        key, before, texts, kind, doc, pos = read(t)
+        n = len(key)
         # words around each anchor, the anchor's first in column `left`; absent words equal nothing
-        m = np.arange(len(key) * width, dtype=np.uint64).reshape(len(key), width)
-        at, suffix = 0, []
-        for buf, off in texts:
-            w = W.split(buf, off)
-            n = len(off) - 1
-            row = w.text_of()
-            m[at + row, left - before[at : at + n][row] + np.arange(len(row)) - w.first[row]] = w.hashes()
-            head = w.start[w.first[:-1] + before[at : at + n]]
-            raw = buf.tobytes()
-            suffix += [b" ".join(raw[s:e].split()) for s, e in zip(head.tolist(), off[1:].tolist(), strict=True)]
-            at += n
+        m = np.arange(n * width, dtype=np.uint64).reshape(n, width)
+        off = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+        w = W.split(np.frombuffer(b"".join(texts), np.uint8), off)
+        row, size = w.text_of(), np.diff(w.first)
+        m[row, left - before[row] + np.arange(len(row)) - w.first[row]] = w.hashes()
+        head = w.start[w.first[:-1] + before] - off[:-1]
+        suffix = [b" ".join(x[s:].split()) for x, s in zip(texts, head.tolist(), strict=True)]
         # the suffix array of this bucket: neighbours share the longest prefix that any other suffix shares
-        order = np.array(sorted(range(len(key)), key=lambda i: (int(key[i]), suffix[i])), np.int64)
+        order = np.array(sorted(range(n), key=lambda i: (int(key[i]), suffix[i])), np.int64)
         r = m[order]
         prefix = np.logical_and.accumulate(r[1:, left:] == r[:-1, left:], axis=1).sum(1)
-        best = np.zeros(len(order), np.int64)
-        best[1:] = prefix
-        best[:-1] = np.maximum(best[:-1], prefix)
-        use = best + left >= passage
-        r, doc, pos = r[use], doc[order][use], pos[order][use]
-        if not len(r):
-            z = np.zeros(0, np.uint64)
-            return late_spans(z, z, doc, pos, passage)
-        h1, h2, wd, wp = [], [], [], []
+        best = np.zeros(n, np.int64)
+        best[order[1:]] = prefix
+        best[order[:-1]] = np.maximum(best[order[:-1]], prefix)
+        first = np.searchsorted(kind, np.arange(n))  # the earliest place of each context
+        lo, hi = left - before, left - before + size - passage  # passages by words before the anchor, both inclusive
+        later = (doc != doc[first][kind]) | (pos != pos[first][kind])
+        many = np.zeros(n, bool)
+        many[kind[later]] = True
+        use = np.flatnonzero(((best + left >= passage) | many) & (hi >= lo))
+        r = m[use]
+        h1, h2, at = [], [], []
         for s in range(left + 1):  # passages that start `left - s` words before the anchor
-            a, b = r[:, s].copy(), r[:, s] ^ np.uint64(0x5851F42D4C957F2D)
+            ok = np.flatnonzero((lo[use] <= s) & (s <= hi[use]))
+            a, b = r[ok, s].copy(), r[ok, s] ^ np.uint64(0x5851F42D4C957F2D)
             for k in range(s + 1, s + passage):
-                a = a * np.uint64(0xA0761D6478BD642F) + r[:, k]
-                b = b * np.uint64(0xD1342543DE82EF95) + (r[:, k] ^ np.uint64(0x5851F42D4C957F2D))
+                a = a * np.uint64(0xA0761D6478BD642F) + r[ok, k]
+                b = b * np.uint64(0xD1342543DE82EF95) + (r[ok, k] ^ np.uint64(0x5851F42D4C957F2D))
             h1.append(W.mix(a))
             h2.append(W.mix(b))
-            wd.append(doc)
-            wp.append(pos - left + s)
-        h1, h2, wd, wp = map(np.concatenate, (h1, h2, wd, wp))
-        return late_spans(h1, h2, wd, wp, passage)
+            at.append(np.stack([use[ok], np.full(len(ok), s)]))
+        h1, h2, (c, s) = np.concatenate(h1), np.concatenate(h2), np.concatenate(at, axis=1)
+        wd, wp = doc[first[c]], pos[first[c]] - left + s
+        # the earliest place of each passage is that of some context's earliest place
+        order, lead = _runs(h2, h1)
+        order = order[np.lexsort((wp[order], wd[order], h2[order], h1[order]))]
+        lead = order[np.repeat(lead, np.diff(np.append(lead, len(order))))]
+        late = (wd[order] != wd[lead]) | (wp[order] != wp[lead])
+        spans = [(wd[order][late], wp[order][late], wp[order][late] + passage, wd[lead][late], wp[lead][late])]
+        # all passages of a context are late at its other places; the least of their earliest places names them
+        o = np.lexsort((wp[lead], wd[lead], c[order]))
+        head = np.searchsorted(c[order][o], np.arange(n))
+        x = np.flatnonzero(later & (hi >= lo)[kind])
+        y, k = lead[o][head[kind[x]]] if len(x) else np.zeros(0, np.int64), kind[x]
+        spans.append((doc[x], pos[x] - left + lo[k], pos[x] - left + hi[k] + passage, wd[y], wp[y]))
+        return _islands(*map(np.concatenate, zip(*spans, strict=True)))
 
     return compare
 
 
+def _islands(doc, start, stop, first_doc, first_pos) -> pa.Table:
+    """Spans of one document that overlap or touch as one span, with the least of their first places."""
+    order = np.lexsort((start, doc))
+    doc, start, stop, first_doc, first_pos = (x[order] for x in (doc, start, stop, first_doc, first_pos))
+    _, of = np.unique(doc, return_inverse=True)
+    reach = of * (1 << 40)  # documents apart, so that one running maximum serves all
+    far = np.maximum.accumulate(stop + reach) if len(doc) else stop
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | ((start + reach)[1:] > far[:-1])
+    a = np.flatnonzero(new)
+    last = np.append(a[1:], len(doc)) - 1 if len(a) else a
+    island = np.cumsum(new) - 1
+    o = np.lexsort((first_pos, first_doc, island))
+    low = o[a]
+    cols = {"doc_id": doc[a], "start": start[a], "stop": far[last] - reach[last], "first_doc_id": first_doc[low], "first_start": first_pos[low]}
+    return pa.table({k: pa.array(v.astype(np.int64)) for k, v in cols.items()})
+
+
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE, anchor: int = ANCHOR) -> DataFrame:
     """Maximal word spans [start, stop) of each document whose every passage of `passage` words occurs earlier: by
     smaller doc_id, or earlier in the same document. first_doc_id, first_start: the earliest place of one of them.
@@ -180,8 +276,9 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, anchor: int = ANC
     prepare(spark)
     rows = documents(docs)
     n = 8 * partitions(spark)
-    found = rows.mapInArrow(_find(n, passage, anchor), "bucket int, key long, doc_id long, pos long")
-    again = found.groupBy("bucket").applyInArrow(_repeated, "doc_id long, pos long").groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))
+    found = rows.mapInArrow(_find(n, passage, anchor), "bucket int, blob binary")
+    again = found.groupBy("bucket").applyInArrow(_repeated, "doc_id long, pos array<long>")
+    again = again.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("pos"))).alias("pos"))
     near = rows.join(again.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "pos").mapInArrow(_context(n, passage, anchor), "bucket int, blob binary")
     spans = near.groupBy("bucket").applyInArrow(_sort(passage, anchor), SPANS)
     order = Window.partitionBy("doc_id").orderBy("start", "stop")
