@@ -7,8 +7,10 @@ packs its own documents in groups of bounded size, so nothing is shuffled and me
 
 from __future__ import annotations
 
-import re
+import os
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import words as W
 from .common import documents, prepare, public_id, table
 
-CAPACITY, END_ID, GROUP_TOKENS, CACHE_WORDS = 2048, 1, 6_000_000, 400_000
+CAPACITY, END_ID, GROUP_TOKENS, CACHE_WORDS, ENCODE_WORDS = 2048, 1, 6_000_000, 1_000_000, 2048
 TOKENIZER = "word_bpe_49k.json"
-_SEPARATOR, _SOLID = re.compile("[\x1c-\x1f]"), re.compile("[^ \t\n\r]+")
+_LETTER, _PUNCTUATION = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), 123, 125, 126]] = True
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -82,33 +87,81 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 class WordTokenizer:
-    """Token ids of whole texts. Words between white space are encoded once and kept in a bounded table.
+    """Token ids of whole texts. Distinct pieces of words are encoded once and kept in a bounded table, by 64-bit hash.
 
-    That equals encoding the text, as the vocabulary drops white space and no token or normalisation spans it;
-    special-token strings hold none either.
+    That equals encoding the text: the vocabulary drops white space, and no token or normalisation spans it or the
+    end of an ASCII letter run before ASCII punctuation. A bar is no cut, as special-token strings hold letters before one.
+    A-Z count as a-z where no combining mark can follow and no special token can be meant.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would only hold more memory
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        # str.split also cuts at U+001C to U+001F, which aren't white space to the vocabulary
-        w = _SOLID.findall(text) if _SEPARATOR.search(text) else text.split()
-        new = list({x for x in w if x not in self.known})
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list(set(w))
-        for x, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[x] = np.array(e.ids, np.uint32)
-        return np.concatenate([*map(self.known.__getitem__, w), np.array([END_ID], np.uint32)])
+        self.clear()
+
+    def clear(self) -> None:
+        self.key, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def learn(self, key: np.ndarray, pieces: list[str]) -> None:
+        """Adds pieces of new, ascending hashes."""
+        size, ids = [], [self.flat]
+        for i in range(0, len(pieces), ENCODE_WORDS):
+            got = [e.ids for e in self.tok.encode_batch_fast(pieces[i : i + ENCODE_WORDS], add_special_tokens=False)]
+            size += map(len, got)
+            ids.append(np.fromiter(chain.from_iterable(got), np.uint32))
+        size = np.array(size, np.int64)
+        to = np.searchsorted(self.key, key)
+        self.at = np.insert(self.at, to, len(self.flat) + np.cumsum(size) - size)
+        self.size, self.key, self.flat = np.insert(self.size, to, size), np.insert(self.key, to, key), np.concatenate(ids)
+
+    def __call__(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts that lie in buf between the offsets, each with the end id; and how many each has."""
+        low, start, end = _pieces(buf, off)
+        u, first, at = np.unique(W.span_hashes(low, start, end), return_index=True, return_inverse=True)
+        new = ~np.isin(u, self.key, assume_unique=True)
+        if len(self.key) + new.sum() > CACHE_WORDS:
+            self.clear()
+            new[:] = True
+        data, k = low.tobytes(), first[new]
+        self.learn(u[new], [data[x:y].decode() for x, y in zip(start[k].tolist(), end[k].tolist(), strict=True)])
+        i = np.searchsorted(self.key, u)[at]
+        size = self.size[i]
+        cum = np.concatenate([[0], np.cumsum(size)])
+        text = np.searchsorted(start, off)
+        n = cum[text[1:]] - cum[text[:-1]] + 1
+        out = np.full(n.sum(), END_ID, np.uint32)
+        inner = np.ones(len(out), bool)
+        inner[np.cumsum(n) - 1] = False
+        out[inner] = self.flat[np.repeat(self.at[i] - cum[:-1], size) + np.arange(cum[-1])]
+        return out, n
+
+
+@lru_cache(maxsize=1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this Python worker: its tasks share the vocabulary and the bounded table."""
+    return WordTokenizer(path)
+
+
+def _pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes in lower case where that changes no id, and the spans of the pieces that are encoded alone."""
+    w = W.split(buf, off)
+    low, cut = buf, np.zeros(0, np.int64)
+    if len(buf):
+        cut = np.flatnonzero(_LETTER[buf[:-1]] & _PUNCTUATION[buf[1:]]) + 1
+        if not ((buf[:-1] == 60) & (buf[1:] == 124)).any():  # no special token
+            low = np.where(np.append(buf[1:] < 128, True), W.lower(buf), buf)
+    a, b = np.zeros(len(buf) + 1, bool), np.zeros(len(buf) + 1, bool)
+    a[w.start] = a[cut] = True
+    b[w.end] = b[cut] = True
+    return low, np.flatnonzero(a), np.flatnonzero(b)
 
 
 def _pack(path: str, capacity: int, group: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, base, done = WordTokenizer(path), TaskContext.get().partitionId() << 40, 0
+        tok, base, done = word_tokenizer(path), TaskContext.get().partitionId() << 40, 0
         held, size = [], 0
 
         def flush():
@@ -130,9 +183,11 @@ def _pack(path: str, capacity: int, group: int):
                 yield pa.RecordBatch.from_arrays([pa.array(doc[j], pa.int64()), pa.array(start[j], pa.int64()), pa.array(length[j], pa.int64()), pa.array(ids[j], pa.binary()), pa.array(total[j], pa.int64()), pa.array(window[j]), pa.array(offset[j])], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.append((d, tok(t.as_py())))
-                size += len(held[-1][1])
+            ids = batch.column(0).to_pylist()
+            for i, j in W.slices(batch.column(1), 2 << 20):
+                t, n = tok(*W.raw(batch.column(1).slice(i, j - i)))
+                held += zip(ids[i:j], np.split(t, np.cumsum(n)[:-1]), strict=True)
+                size += len(t)
                 if size >= group:
                     yield from flush()
                     held, size = [], 0
