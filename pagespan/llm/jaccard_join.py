@@ -4,9 +4,9 @@ All shingles have one global order, rare ones first. Their document counts are f
 any machine: each share of the corpus sends its shingles to buckets by hash and gets classes of their counts back.
 Two sets of the wanted similarity share a shingle among the first few of each (prefix filter), and shingles that one
 document alone holds are shared by none, so sets meet by few shingles. Sets that meet, directly or over others, are
-then joined exactly: they are stored in a prefix tree whose edges hold runs of shingles, and each set walks the tree
-once, sharing the overlap counted so far among all sets below an edge, and leaving subtrees that the remaining
-length can't bring to the wanted overlap or that are linked already.
+then joined exactly: they are stored in a prefix tree whose edges hold runs of shingles, and the sets walk the tree
+once, together, sharing the overlap counted so far among all sets below an edge; a set leaves at subtrees that the
+remaining length can't bring to the wanted overlap or that are linked to it already.
 
 Equal sets are one set from the start, so groups of copies cost one set. Links are kept as spanning trees.
 """
@@ -262,38 +262,47 @@ def join_sets(sets: list[np.ndarray], left: int | None = None) -> list[tuple[int
     code = rank[code]
     cut = np.cumsum([len(s) for s in sets])[:-1]
     tree = PrefixTree([np.sort(s) for s in np.split(code, cut)])
+    # all sets walk the tree together: an edge's shingles are looked up once, in lists of the sets that hold them
+    held = np.concatenate(tree.sets).astype(np.int64)
+    owner = np.repeat(np.arange(len(sets)), tree.size)
+    post = owner[np.argsort(held, kind="stable")]
+    n_post = np.bincount(held, minlength=len(value))
+    first_post = np.cumsum(n_post) - n_post
+    first_own = np.cumsum(tree.size) - tree.size
+    flat = owner * len(value) + held
     label = np.arange(len(sets))
     side = None if left is None else np.array([i < left for i in tree.order])
-    mark = np.zeros(len(value) + 1, bool)
     links = []
-    for x, own in enumerate(tree.sets):
-        mark[own] = True
-        n = len(own)
-        stack = [(tree.root, 0)]
-        while stack:
-            v, got = stack.pop()
-            lo, hi, depth, above, children = tree.nodes[v]
-            if tree.high[v] * DEN < NUM * n or tree.low[v] * NUM > DEN * n:
-                continue
-            if hi - lo == 1 and (label[lo] == label[x] or (side is not None and side[lo] == side[x])):
-                continue
-            if hi - lo > 1 and (label[lo:hi] == label[x]).all():
-                continue
-            run = tree.sets[lo][above:depth]
-            got += int(np.count_nonzero(mark[run]))
-            # o >= t (n + m - o) for the least size m that lies below, if all that remains agrees
-            past = int(np.searchsorted(own, run[-1], "right")) if len(run) else (0 if depth == 0 else int(np.searchsorted(own, tree.sets[lo][depth - 1], "right")))
-            most = got + min(n - past, tree.high[v] - depth)
-            least = max(tree.low[v], depth)
-            if (NUM + DEN) * most < NUM * (n + least):
-                continue
-            if hi - lo == 1:
-                if (NUM + DEN) * got >= NUM * (n + int(tree.size[lo])):
-                    links.append((tree.order[x], tree.order[lo]))
-                    label[label == label[lo]] = label[x]
-                continue
-            stack.extend((c, got) for c in children)
-        mark[own] = False
+    stack = [(tree.root, np.arange(len(sets)), np.zeros(len(sets), np.int64))]
+    while stack:
+        v, x, got = stack.pop()
+        lo, hi, depth, above, children = tree.nodes[v]
+        n = tree.size[x]
+        # each pair meets once, at the earlier set's leaf
+        use = (x > lo) & (tree.high[v] * DEN >= NUM * n) & (tree.low[v] * NUM <= DEN * n)
+        if (label[lo:hi] == label[lo]).all():
+            use &= label[x] != label[lo]
+        if hi - lo == 1 and side is not None:
+            use &= side[x] != side[lo]
+        x, got, n = x[use], got[use], n[use]
+        if not len(x):
+            continue
+        run = tree.sets[lo][above:depth]
+        if len(run):
+            many = n_post[run]
+            at = np.repeat(first_post[run] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            got = got + np.bincount(post[at], minlength=len(sets))[x]
+        past = np.searchsorted(flat, x * len(value) + int(tree.sets[lo][depth - 1]), "right") - first_own[x] if depth else 0
+        # o >= t (n + m - o) for the least size m that lies below, if all that remains agrees
+        most = got + np.minimum(n - past, tree.high[v] - depth)
+        use = (NUM + DEN) * most >= NUM * (n + max(tree.low[v], depth))
+        x, got = x[use], got[use]
+        if hi - lo > 1:
+            stack.extend((c, x, got) for c in children)
+            continue
+        joined, one = np.unique(label[x], return_index=True)
+        links.extend((tree.order[i], tree.order[lo]) for i in x[one].tolist())
+        label[np.isin(label, joined)] = label[lo]
     return links
 
 
