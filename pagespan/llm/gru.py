@@ -48,15 +48,19 @@ def flat(p: dict) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in NAMES])
 
 
-def shaped(x: np.ndarray, like: dict) -> dict:
+def _views(x: np.ndarray, like: dict) -> dict:
     out, at = {}, 0
     for k in NAMES:
         n = like[k].size
-        out[k] = x[at : at + n].reshape(like[k].shape).astype(np.float32)
+        out[k] = x[at : at + n].reshape(like[k].shape)
         at += n
     return out
 
 
+def shaped(x: np.ndarray, like: dict) -> dict:
+    return {k: v.astype(np.float32) for k, v in _views(x, like).items()}
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
@@ -80,36 +84,45 @@ def output_loss(p: dict, cut: np.ndarray, h: np.ndarray, target: np.ndarray, gra
         grad["wc"] += h.T @ q
         grad["bc"] += q.sum(0)
         dh = q @ p["wc"].T
+    # by class, so that each class is one slice
     order = np.argsort(of.astype(np.uint16), kind="stable")
-    edge = np.searchsorted(of[order], np.arange(len(cut)))
-    for c in np.flatnonzero(np.diff(edge)).tolist():
-        a, b = cut[c], cut[c + 1]
-        if b - a == 1:
+    edge = np.searchsorted(of[order], np.arange(len(cut))).tolist()
+    hc, own, got = h[order], target[order] - cut[of[order]], np.zeros(len(target), np.float32)
+    dhc = None if grad is None else np.zeros_like(hc)
+    for c, (i, j, a, b) in enumerate(zip(edge[:-1], edge[1:], cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+        if i == j or b - a == 1:
             continue
-        i = order[edge[c] : edge[c + 1]]
-        q = _softmax(h[i] @ p["wu"][:, a:b] + p["bu"][a:b])
-        j = np.arange(len(i))
-        out[i] += np.log(np.maximum(q[j, target[i] - a], 1e-30))
+        wu, k = p["wu"][:, a:b], own[i:j]
+        q = _softmax(hc[i:j] @ wu + p["bu"][a:b])
+        at = np.arange(j - i)
+        got[i:j] = q[at, k]
         if grad is not None:
-            q[j, target[i] - a] -= 1
-            grad["wu"][:, a:b] += h[i].T @ q
+            q[at, k] -= 1
+            grad["wu"][:, a:b] += hc[i:j].T @ q
             grad["bu"][a:b] += q.sum(0)
-            dh[i] += q @ p["wu"][:, a:b].T
+            np.matmul(q, wu.T, out=dhc[i:j])
+    alone = np.diff(cut)[of[order]] == 1
+    out[order] += np.where(alone, np.float32(0), np.log(np.maximum(got, 1e-30)))
+    if grad is not None:
+        dh[order] += dhc
     return out, dh
 
 
-def streams(docs: list[np.ndarray], n: int, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents dealt to n streams in some order (unset: longest first), each to the shortest: tokens and document of each stream's steps
-    (-1 past its end), and the streams' lengths, which descend."""
+def streams(docs: list[np.ndarray], n: int, mixed: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents dealt to n streams, longest first, each to the shortest, so that streams end close together: tokens and document of each
+    stream's steps (-1 past its end), and the streams' lengths, which descend. mixed puts each stream's documents in random order, so that
+    no step sees documents of one length only."""
     import heapq
 
     size = np.array([len(d) for d in docs], np.int64)
     heap = [(0, i) for i in range(min(n, len(docs)))]
     own: list[list[int]] = [[] for _ in heap]
-    for d in (np.argsort(-size, kind="stable") if order is None else order).tolist():
+    for d in np.argsort(-size, kind="stable").tolist():
         length, s = heapq.heappop(heap)
         own[s].append(d)
         heapq.heappush(heap, (length + int(size[d]), s))
+    if mixed is not None:
+        own = [mixed.permutation(o).tolist() for o in own]
     length = np.array([int(size[o].sum()) for o in own], np.int64)
     order = np.argsort(-length, kind="stable")
     token = np.full((int(length.max()), len(own)), -1, np.int32)
@@ -157,73 +170,85 @@ class Trainer:
     """Truncated backpropagation with Adam. Documents come in lots; the weights and moments go on."""
 
     def __init__(self, p: dict, cut: np.ndarray, rate: float = 1e-2) -> None:
-        self.p, self.cut, self.rate, self.n, self.tokens = p, cut, rate, 0, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+        self.cut, self.rate, self.n, self.tokens = cut, rate, 0, 0
+        # one vector each, seen by name through views
+        self.w = flat(p)
+        self.m, self.v, self.g, self.room = (np.zeros_like(self.w) for _ in range(4))
+        self.p, self.grad = _views(self.w, p), _views(self.g, p)
 
     def learn(self, docs: list[np.ndarray]) -> None:
+        """Every token of the documents, to the end of every stream."""
         if not docs:
             return
-        # in mixed order, so that no window sees documents of one length only
-        token, doc, length = streams(docs, STREAMS, np.random.default_rng(len(docs)).permutation(len(docs)))
+        token, doc, length = streams(docs, STREAMS, np.random.default_rng(len(docs)))
         start = len(self.p["emb"]) - 1
         h = np.zeros((token.shape[1], HIDDEN), np.float32)
         last, past = np.full(token.shape[1], start), np.full(token.shape[1], -1)
         for t in range(0, len(token), STEPS):
             m = int((length > t).sum())
-            if 2 * m < token.shape[1]:
-                break  # what is left of a few long documents alone would pull the weights to them
             h, last, past = self._window(token[t : t + STEPS, :m], doc[t : t + STEPS, :m], h[:m], last[:m], past[:m], start)
 
     def _window(self, x, d, h, last, past, start):
-        p, H = self.p, HIDDEN
-        xw = p["emb"] @ p["wx"] + p["bg"]
-        tape, hs = [], np.empty((len(x), x.shape[1], H), np.float32)
-        for s in range(len(x)):
-            fresh = d[s] != past
-            h = np.where(fresh[:, None], np.float32(0), h)
-            i = np.where(fresh, start, last)
-            g, u = xw[i], h @ p["wh"]
-            zr = _sigmoid(g[:, : 2 * H] + u[:, : 2 * H])
-            z, r = zr[:, :H], zr[:, H:]
-            c = np.tanh(g[:, 2 * H :] + r * u[:, 2 * H :])
-            new = c + z * (h - c)
-            tape.append((fresh, i, h, z, r, c, u[:, 2 * H :]))
-            hs[s] = h = new
-            last, past = np.maximum(x[s], 0), d[s]
+        p, grad, H, (k, m) = self.p, self.grad, HIDDEN, x.shape
+        seen = np.maximum(x, 0)
+        fresh = d != np.concatenate([past[None], d[:-1]])
+        i = np.where(fresh, start, np.concatenate([last[None], seen[:-1]])).ravel()
+        keep = (~fresh).astype(np.float32)[:, :, None]
+        e = p["emb"][i]
+        g = (e @ p["wx"] + p["bg"]).reshape(k, m, 3 * H)
+        h0, zr, c, uc, hs = (np.empty((k, m, n * H), np.float32) for n in (1, 2, 1, 1, 1))
+        for s in range(k):
+            np.multiply(h, keep[s], out=h0[s])
+            u = h0[s] @ p["wh"]
+            zr[s] = _sigmoid(g[s, :, : 2 * H] + u[:, : 2 * H])
+            uc[s] = u[:, 2 * H :]
+            np.tanh(g[s, :, 2 * H :] + zr[s, :, H:] * uc[s], out=c[s])
+            np.add(c[s], zr[s, :, :H] * (h0[s] - c[s]), out=hs[s])
+            h = hs[s]
         use = x >= 0
         n = int(use.sum())
-        grad = {k: np.zeros_like(v) for k, v in p.items()}
         if n:
+            self.g[:] = 0
             _, dout = output_loss(p, self.cut, hs[use], x[use], grad)
             dhs = np.zeros_like(hs)
             dhs[use] = dout
-            dh = np.zeros_like(h)
-            dxw = np.zeros_like(xw)
-            for s in range(len(x) - 1, -1, -1):
-                fresh, i, h0, z, r, c, uc = tape[s]
-                dh = dh + dhs[s]
-                dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (h0 - c) * z * (1 - z)
-                dr = dc * uc * r * (1 - r)
-                np.add.at(dxw, i, np.concatenate([dz, dr, dc], 1))
-                du = np.concatenate([dz, dr, dc * r], 1)
-                grad["wh"] += h0.T @ du
-                dh = np.where(fresh[:, None], np.float32(0), dh * z + du @ p["wh"].T)
-            grad["bg"] += dxw.sum(0)
-            grad["wx"] += p["emb"].T @ dxw
-            grad["emb"] += dxw @ p["wx"].T
-            self._step(grad, n)
-        return h, last, past
-
-    def _step(self, grad, n):
+            z, r = zr[:, :, :H], zr[:, :, H:]
+            by_c = (1 - z) * (1 - c * c)
+            by_u = np.stack([(h0 - c) * z * (1 - z), by_c * uc * r * (1 - r), by_c * r], 2)
+            du = np.empty((k, m, 3, H), np.float32)
+            back = np.ascontiguousarray(p["wh"].T)
+            dh = np.zeros((m, H), np.float32)
+            for s in range(k - 1, -1, -1):
+                dhs[s] += dh
+                np.multiply(dhs[s][:, None], by_u[s], out=du[s])
+                dh = (dhs[s] * z[s] + du[s].reshape(m, 3 * H) @ back) * keep[s]
+            grad["wh"] += h0.reshape(-1, H).T @ du.reshape(-1, 3 * H)
+            du[:, :, 2] = dhs * by_c
+            dx = du.reshape(-1, 3 * H)
+            grad["bg"] += dx.sum(0)
+            grad["wx"] += e.T @ dx
+            order = np.argsort(i, kind="stable")
+            first = np.flatnonzero(np.diff(i[order], prepend=-1))
+            grad["emb"][i[order[first]]] += np.add.reduceat((dx @ p["wx"].T)[order], first)
+            self._step(n)
+        return h, seen[-1], d[-1]
+
+    def _step(self, n):
         self.n += 1
         self.tokens += n
         full = STREAMS * STEPS  # windows that hold fewer tokens count for less
-        size = np.sqrt(sum(float((g * g).sum()) for g in grad.values())) / full
-        scale = min(1.0, 1.0 / max(size, 1e-9)) / full
+        g, m, v, x = self.g, self.m, self.v, self.room
+        size = float(np.sqrt(g @ g)) / full
+        g *= np.float32(min(1.0, 1.0 / max(size, 1e-9)) / full)
         fix = np.sqrt(1 - 0.999**self.n) / (1 - 0.9**self.n)
-        for k, g in grad.items():
-            g *= scale
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.001 * (g * g - self.v[k])
-            self.p[k] -= self.rate * fix * self.m[k] / (np.sqrt(self.v[k]) + 1e-5)  # a large floor: units that are hardly seen hardly move
+        m *= np.float32(0.9)
+        m += np.multiply(g, np.float32(0.1), out=x)
+        v *= np.float32(0.999)
+        np.multiply(g, g, out=x)
+        x *= np.float32(0.001)
+        v += x
+        np.sqrt(v, out=x)
+        x += np.float32(1e-5)  # a large floor: units that are hardly seen hardly move
+        np.divide(m, x, out=x)
+        x *= np.float32(self.rate * fix)
+        self.w -= x

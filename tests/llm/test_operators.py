@@ -271,6 +271,18 @@ def test_gru():
     assert whole == pytest.approx(1, rel=1e-3)
 
 
+def test_gru_trains_to_the_end_of_every_stream():
+    from pagespan.llm import gru
+
+    mass = np.array([50.0, 20, 10, 5, 3, 1])
+    r = np.random.default_rng(3)
+    docs = [r.integers(0, 6, n).astype(np.int32) for n in [*r.integers(1, 40, 30).tolist(), 3000, 700]]
+    t = gru.Trainer(gru.initial(mass), gru.classes(mass))
+    t.learn(docs)
+    assert t.tokens == sum(map(len, docs)) and np.isfinite(t.w).all()
+    assert (gru.score(t.p, gru.classes(mass), docs) < 0).all()
+
+
 def test_quality(spark, docs):
     r = random.Random(1)
     good = lambda: " ".join("".join(r.choice("abcde") for _ in range(5)) for _ in range(60)) + "."
