@@ -3,7 +3,7 @@
 Word counts are taken over all training texts: tasks send each share's distinct words to buckets by hash and get
 the words' counts back, so no table of words is ever on one machine. With the counts, texts become arrays of units
 (frequent words, or a band of rarer ones) and the exact unigram score. The recurrent model is trained in every task
-on its own share, and the tasks' weights are averaged; what is learned from grows with the corpus. Then every
+on its own share, every training document from its first word to its end, and the tasks' weights are averaged. Then every
 document is scored with the state carried from its first word to its end.
 """
 
@@ -24,9 +24,8 @@ from . import gru
 from . import words as W
 from .common import NO_ID, durable, partitions, prepare, public_id, table
 
-#: Frequent words with a unit of their own; share of the training documents that weights are fitted on, and the
-#: tokens of a share of the corpus below which all of them are.
-UNITS, SHARE, LEAST_TOKENS = 2000, 16, 65_536
+#: Frequent words with a unit of their own.
+UNITS = 2000
 CHUNK = 8 << 20
 END = b""  # no word is empty
 
@@ -205,8 +204,7 @@ def _train(units):
         for rows, docs in _lots(batches):
             held = np.concatenate([r.column("held_out").to_numpy(zero_copy_only=False) for r in rows])
             own = [d for d, h in zip(docs, held.tolist(), strict=True) if not h]
-            step = max(1, min(SHARE, sum(map(len, own)) // LEAST_TOKENS))
-            t.learn(own[::step])
+            t.learn(own)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(t.tokens)]), pa.array([gru.flat(t.p).tobytes()], pa.binary())], ["id", "tokens", "weights"])
 
     return train

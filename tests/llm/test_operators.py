@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,6 +272,19 @@ def test_gru():
     assert whole == pytest.approx(1, rel=1e-3)
 
 
+def test_lm_trains_on_every_document(monkeypatch):
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(lm_scoring, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    units = SimpleNamespace(value=SimpleNamespace(mass=np.array([50.0, 20, 10, 5, 3, 1])))
+    r = np.random.default_rng(2)
+    docs = [r.integers(0, 6, 1000).astype(np.uint16) for _ in range(160)]  # over 131,072 tokens in one lot
+    held = [i % 8 == 0 for i in range(160)]
+    batch = pa.RecordBatch.from_arrays([pa.array(held), pa.array([d.tobytes() for d in docs], pa.binary())], ["held_out", "units"])
+    (out,) = lm_scoring._train(units)(iter([batch]))
+    assert out.column("tokens").to_pylist() == [140_000.0]
+
+
 def test_gru_trains_to_the_end_of_every_stream():
     from pagespan.llm import gru
 
