@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .common import NO_ID, documents, prepare, public_id, table
+from .line_dedup import Sums
 
 WINDOW, LEAST_LITERALS, COVERAGE, CONSISTENCY = 8, 5, 0.6, 0.8
+#: Words of the longest window that is made for want of literals; literals of an item that is matched as a whole.
+LONGEST, LEAST_WHOLE = 32, 3
 #: Characters of benchmark text in one broadcast block.
 BLOCK_CHARS = 8 << 20
 UNITS = "mm cm m km g kg mg t ml l s ms min h hr hrs hour hours day days week weeks month months year years inch inches ft feet foot mile miles yd lb lbs oz usd eur gbp dollar dollars cent cents euro euros percent degree degrees mph kph w kw mw v a hz khz mhz ghz b kb mb gb tb".split()
@@ -73,44 +76,73 @@ def templates(buf: np.ndarray, off: np.ndarray) -> tuple[W.Words, np.ndarray, np
 _UNIT_HASHES = _hash_words(UNITS)
 
 
+def _keys(sums: Sums, at: np.ndarray, n: np.ndarray | int, exact: bool) -> np.ndarray:
+    """Hash of the n words from each place, apart for templates and values."""
+    n = np.full(len(at), n) if np.isscalar(n) else n
+    return W.mix(sums.range(at, at + n)) ^ (2 * n + exact).astype(np.uint64)
+
+
 class Index:
-    """Template windows of some benchmark items. An item of fewer than `window` words is one window of its own length."""
+    """Windows of some benchmark items, every one. An item of fewer than `window` words is one window of its own length.
+
+    Windows of `literals` literal words or more are kept by template. The others are kept by their values, so that
+    verbatim copies are found, and each by template in the shortest window of LONGEST words at most that holds it
+    and enough literals, or in the whole item.
+    """
 
     def __init__(self, ids: list[int], texts: list[str], window: int = WINDOW, literals: int = LEAST_LITERALS) -> None:
         buf, off = W.raw(pa.array(texts, pa.string()))
         w, self.value, t, self.slot = templates(buf, off)
         self.ids, self.first = ids, w.first
         size = np.diff(w.first)
-        keys, place, length = [], [], []
+        begin, end = np.repeat(w.first[:-1], size), np.repeat(w.first[1:], size)
         solid = np.concatenate([[0], np.cumsum(~self.slot)])
-        for n in sorted({window, *size[(size < window) & (size > 0)].tolist()}):
-            at = W.inside(w.first, n)
-            if n < window:
-                at = at[np.isin(at, w.first[:-1][size == n])]
-            at = at[solid[at + n] - solid[at] >= min(literals, n)]
-            keys.append(W.rolling(t, n)[at] ^ np.uint64(n))
-            place.append(at)
-            length.append(np.full(len(at), n))
-        key, place, length = map(np.concatenate, (keys, place, length))
+        at = np.arange(len(t))
+        n = np.minimum(window, end - begin)
+        at, n = at[at + n <= end], n[at + n <= end]
+        few = solid[at + n] - solid[at] < np.minimum(literals, n)
+        # an item's first word may be a name where it stands inside a sentence
+        own = few | (at == begin[at])
+        long_at, long_n = self._longer(at[few], n[few], begin, end, solid, literals)
+        wide = np.unique(np.stack([np.concatenate([at[~few], long_at]), np.concatenate([n[~few], long_n])]), axis=1)
+        key = np.concatenate([_keys(Sums(t), *wide, False), _keys(Sums(self.value), at[own], n[own], True)])
+        place, length = np.concatenate([wide[0], at[own]]), np.concatenate([2 * wide[1], 2 * n[own] + 1])
         order = np.argsort(key, kind="stable")
         self.key, self.place, self.length = key[order], place[order], length[order]
-        self.lengths = sorted(set(length.tolist()))
+        self.lengths = sorted(set(length.tolist()))  # twice the words, and one for values
         self.item = np.repeat(np.arange(len(ids)), size)
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.key & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
+    @staticmethod
+    def _longer(at, n, begin, end, solid, literals):
+        """For each window the shortest that extends it to the right, else to the left, and holds enough literals; else the item."""
+        lo, hi, out = begin[at], end[at], []
+        for left in (False, True):
+            for m in range(int(n.min(initial=LONGEST)) + 1, LONGEST + 1):
+                a = at + n - m if left else at
+                ok = (m > n) & (a >= lo) & (a + m <= hi)
+                ok[ok] = solid[a[ok] + m] - solid[a[ok]] >= literals
+                out.append((a[ok], np.full(int(ok.sum()), m)))
+                at, n, lo, hi = at[~ok], n[~ok], lo[~ok], hi[~ok]
+        whole = (hi - lo <= LONGEST) & (solid[hi] - solid[lo] >= LEAST_WHOLE)
+        out.append((lo[whole], (hi - lo)[whole]))
+        return tuple(map(np.concatenate, zip(*out, strict=True)))
+
     def matches(self, doc_ids: np.ndarray, buf: np.ndarray, off: np.ndarray, coverage: float, consistency: float) -> list[tuple]:
         w, value, t, _ = templates(buf, off)
         mine, theirs, size = [], [], []
-        for n in self.lengths:
+        sums = (Sums(t), Sums(value))
+        for kind in self.lengths:
+            n, exact = divmod(kind, 2)
             at = W.inside(w.first, n)
-            h = W.rolling(t, n)[at] ^ np.uint64(n)
+            h = _keys(sums[exact], at, n, bool(exact))
             may = self.seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
             at, h = at[may], h[may]
             lo, hi = np.searchsorted(self.key, h), np.searchsorted(self.key, h, "right")
             k = hi - lo
             post = np.repeat(lo, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            right = self.length[post] == n
+            right = self.length[post] == kind
             mine.append(np.repeat(at, k)[right])
             theirs.append(self.place[post][right])
             size.append(np.full(int(right.sum()), n))
@@ -174,8 +206,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     at least `consistency` of its slots are filled consistently.
 
     verbatim: all slots hold the item's own values. start, stop: words of the document. Null and empty texts match
-    nothing; items whose windows hold fewer than LEAST_LITERALS literal words (or, if short, any slot) aren't indexed.
-    Repeated rows give equal rows. An empty benchmark gives no rows.
+    nothing. Windows of fewer than LEAST_LITERALS literal words match by their values, or by template as part of a
+    longer window or of an item with LEAST_WHOLE literals: an item of numbers, units and names alone is found with
+    its own values only. Repeated rows give equal rows. An empty benchmark gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)

@@ -241,6 +241,15 @@ def test_decontamination(spark, docs):
     assert contaminated(df, bench.limit(0)).count() == 0 and contaminated(docs, bench).count() == 0
 
 
+def test_decontamination_of_items_dense_in_values(spark):
+    car, times, numbers = "A car drives 60 miles in 2 hours and 90 miles in 3 hours.", "What is 17 times 23?", "3 kg 14 kg 15 92 65 35 89 79 Anna"
+    bench = spark.createDataFrame([(1, car), (2, times), (3, numbers)], "item_id long, text string")
+    other = car.replace("60", "45").replace("miles", "km").replace("2", "7").replace("90", "80").replace("in 3", "in 9")
+    rows = [car, f"so. {other} then", "A car drives 45 km in 7 days and 80 miles in 9 hours.", f"asked here {times} and there", "What is 5 times 9?", "What is 5 plus 9?", f"take {numbers} now", numbers.replace("1", "2"), "5 times"]
+    got = {(r.doc_id, r.item_id): r.verbatim for r in contaminated(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), bench).collect()}
+    assert got == {(0, 1): True, (1, 1): False, (3, 2): True, (4, 2): False, (6, 3): True}
+
+
 def test_lm_scoring(docs, texts, odd):
     out = {r.doc_id: r for r in lm_scoring.score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2).collect()}
     held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
