@@ -15,7 +15,7 @@ from pagespan.llm import quality
 from pagespan.llm.common import shared_folder, table
 from pagespan.llm.decontamination import contaminated
 from pagespan.llm.jaccard_join import similar_documents
-from pagespan.llm.line_dedup import without_lines
+from pagespan.llm.line_dedup import EVERY, without_lines
 from pagespan.llm.packing import pack_documents
 
 
@@ -27,7 +27,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that occur earlier, or nearly so, are cut from the texts."""
-    return without_lines(docs)
+    return without_lines(docs, **EVERY)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Near-duplicate lines by a deletion-neighbourhood join.
 
-Lines are compared as word sequences, within an edit bound of one word (inserted, deleted or replaced). A line and
+Lines are compared as word sequences, within an edit bound of one word (inserted, deleted or replaced). In scripts
+without spaces (Chinese, Japanese, Thai, Lao, Burmese, Khmer) each character is a word. A line and
 all its variants with one word left out are hashed; lines within the bound share a variant, and the places of the
 left-out words verify the distance: two lines of equal length are one replacement apart if the same place was left
 out, and a whole line equals a variant of a line that is one word longer. So no pairs are listed: each group of
@@ -22,8 +23,11 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import documents, partitions, prepare, public_id, table
 
-#: Lines of fewer words are never removed; lines of fewer than NEAR_WORDS are compared exactly.
+#: Bounds that a caller gets without asking: lines of fewer words stay; lines of fewer than NEAR_WORDS are compared exactly.
 LEAST_WORDS, NEAR_WORDS = 4, 8
+#: Bounds of the query and the pipeline: every line with a word goes if it stands earlier; one edit is looked for from
+#: four words on, as it changes a third or more of a shorter line.
+EVERY = {"least": 1, "near": 4}
 REMOVED = "doc_id long, line long, first_doc_id long, first_line long, edits int"
 _FULL = -1
 
@@ -34,12 +38,28 @@ def _lines(buf: np.ndarray, off: np.ndarray):
     cuts = np.unique(np.concatenate([off, ends + 1]))
     cuts = cuts[cuts <= len(buf)]
     low = W.lower(buf)
-    w = W.split(low, cuts)
+    w = _split(low, cuts)
     doc = np.searchsorted(off, cuts[:-1], "right") - 1
     first = np.searchsorted(cuts, off[doc])
     return w, doc, np.arange(len(cuts) - 1) - first
 
 
+def _split(buf: np.ndarray, off: np.ndarray) -> W.Words:
+    """Words between white space, cut before and after each character of a script without spaces."""
+    w = W.split(buf, off)
+    if not (buf >= 0xE0).any():
+        return w
+    a, b = buf[:-1], buf[1:]
+    alone = ((a >= 0xE3) & (a <= 0xE9)) | ((a == 0xE0) & (b >= 0xB8) & (b <= 0xBB))
+    alone |= (a == 0xE1) & (((b >= 0x80) & (b <= 0x82)) | ((b >= 0x9E) & (b <= 0x9F)))
+    alone |= ((a == 0xEF) & (b >= 0xA4) & (b <= 0xAB)) | ((a == 0xF0) & (b >= 0xA0) & (b <= 0xAF))
+    at = np.flatnonzero(alone)
+    stop = at + np.where(buf[at] < 0xF0, 3, 4)
+    cut = np.union1d(at[~np.isin(at, w.start)], stop[~np.isin(stop, w.end)])
+    start = np.union1d(w.start, cut)
+    return W.Words(buf, start, np.union1d(w.end, cut), np.searchsorted(start, off))
+
+
 class Sums:
     """Prefix sums of word hashes: a hash of any range of words in constant time, and of a range less one word."""
 
@@ -64,19 +84,22 @@ def _final(x: np.ndarray, n: np.ndarray, kind: int) -> np.ndarray:
     return W.mix(x + n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(kind * 0x2545F4914F6CDD1D & (1 << 64) - 1))
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each line of LEAST_WORDS or more: its hash, and the hashes of its halves."""
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for i, j in W.slices(batch.column(1)):
-            w, doc, line = _lines(*W.raw(batch.column(1).slice(i, j - i)))
-            n = np.diff(w.first)
-            at = np.flatnonzero(n >= LEAST_WORDS)
-            if not len(at):
-                continue
-            sums, a, b, n = Sums(w.hashes()), w.first[:-1][at], w.first[1:][at], n[at]
-            whole = _final(sums.range(a, b), n, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(ids[i:j][doc[at]]), pa.array(line[at].astype(np.int64)), pa.array(n.astype(np.int32)), *(pa.array(k.view(np.int64)) for k in _halves(sums, a, b, n))], ["whole", "doc_id", "line", "n", "p0", "p1", "s0", "s1"])
+def _whole(least: int):
+    def whole_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each line of `least` words or more: its hash, and the hashes of its halves."""
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, j in W.slices(batch.column(1)):
+                w, doc, line = _lines(*W.raw(batch.column(1).slice(i, j - i)))
+                n = np.diff(w.first)
+                at = np.flatnonzero(n >= least)
+                if not len(at):
+                    continue
+                sums, a, b, n = Sums(w.hashes()), w.first[:-1][at], w.first[1:][at], n[at]
+                whole = _final(sums.range(a, b), n, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(ids[i:j][doc[at]]), pa.array(line[at].astype(np.int64)), pa.array(n.astype(np.int32)), *(pa.array(k.view(np.int64)) for k in _halves(sums, a, b, n))], ["whole", "doc_id", "line", "n", "p0", "p1", "s0", "s1"])
+
+    return whole_lines
 
 
 def _halves(sums: Sums, a, b, n):
@@ -89,7 +112,7 @@ def _halves(sums: Sums, a, b, n):
     return out
 
 
-def _variants(n_bucket: int):
+def _variants(n_bucket: int, near: int):
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -107,7 +130,7 @@ def _variants(n_bucket: int):
                 at, side = at[ok], code[ok] % 4
                 a, b = w.first[:-1][at], w.first[1:][at]
                 n = b - a
-                ok = n >= NEAR_WORDS
+                ok = n >= near
                 at, side, a, b, n = at[ok], side[ok], a[ok], b[ok], n[ok]
                 if not len(at):
                     continue
@@ -166,35 +189,35 @@ def _join(t: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(c.astype(np.int64)) for n, c in zip(("doc_id", "line", "first_doc_id", "first_line"), cols, strict=True)})
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS, near: int = NEAR_WORDS) -> DataFrame:
     """One row per removed line: doc_id, line (from 0), first_doc_id, first_line, edits (0: equal words, 1: one edit).
 
     A line goes if an earlier line (smaller doc_id, or the same document and earlier) has the same words (A-Z in lower
-    case, white space aside) or, among lines of NEAR_WORDS words or more, is one word edit away; judged on the
+    case, white space aside) or, among lines of `near` words or more, is one word edit away; judged on the
     input, not on what is left. first_* name the earliest equal line, else the earliest line one edit away. Lines of
-    fewer than LEAST_WORDS words stay. Rows that share a doc_id count as one document: repeated rows remove nothing
+    fewer than `least` words stay. Rows that share a doc_id count as one document: repeated rows remove nothing
     from each other. Null and empty texts have no lines to remove. Words are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
     prepare(spark)
     rows = documents(docs)
     n = 8 * partitions(spark)
-    lines = rows.mapInArrow(_whole, "whole long, doc_id long, line long, n int, p0 long, p1 long, s0 long, s1 long")
+    lines = rows.mapInArrow(_whole(least), "whole long, doc_id long, line long, n int, p0 long, p1 long, s0 long, s1 long")
     # distinct lines with their earliest place: tasks combine copies first, so a very common line stays small
     kinds = lines.groupBy("whole").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in ("p0", "p1", "s0", "s1")))
     exact = lines.select("whole", "doc_id", "line").join(kinds.select("whole", "first"), "whole")
     exact = exact.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line")))
     exact = exact.select("doc_id", "line", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"), F.lit(0).alias("edits"))
 
-    halves = kinds.where(F.col("n") >= NEAR_WORDS).select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), F.explode(F.array(*(F.struct(F.col(c).alias("half"), F.lit(side).alias("side")) for c, side in (("p0", 1), ("p1", 1), ("s0", 2), ("s1", 2))))).alias("x"))
+    halves = kinds.where(F.col("n") >= near).select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), F.explode(F.array(*(F.struct(F.col(c).alias("half"), F.lit(side).alias("side")) for c, side in (("p0", 1), ("p1", 1), ("s0", 2), ("s1", 2))))).alias("x"))
     halves = halves.select("doc_id", "line", "x.*").distinct()
     bucketed = halves.withColumn("bucket", F.pmod("half", F.lit(n)).cast("int"))
     active = bucketed.groupBy("bucket").applyInArrow(_shared, "doc_id long, line long, side int")
     active = active.groupBy("doc_id", "line").agg(F.bit_or("side").alias("side")).groupBy("doc_id").agg(F.collect_list(F.col("line") * 4 + F.col("side")).alias("active"))
-    near = rows.join(active.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "active")
-    near = near.mapInArrow(_variants(n), "bucket int, key long, doc_id long, line int, place int")
-    near = near.groupBy("bucket").applyInArrow(_join, "doc_id long, line long, first_doc_id long, first_line long")
-    every = exact.union(near.withColumn("edits", F.lit(1)))
+    close = rows.join(active.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "active")
+    close = close.mapInArrow(_variants(n, near), "bucket int, key long, doc_id long, line int, place int")
+    close = close.groupBy("bucket").applyInArrow(_join, "doc_id long, line long, first_doc_id long, first_line long")
+    every = exact.union(close.withColumn("edits", F.lit(1)))
     return every.groupBy("doc_id", "line").agg(F.min(F.struct("edits", "first_doc_id", "first_line")).alias("x")).select("doc_id", "line", "x.first_doc_id", "x.first_line", "x.edits")
 
 
@@ -208,13 +231,13 @@ def _shared(t: pa.Table) -> pa.Table:
     return t.select(["doc_id", "line", "side"]).take(pa.array(order[same[1:] | same[:-1]]))
 
 
-def without_lines(docs: DataFrame) -> DataFrame:
+def without_lines(docs: DataFrame, least: int = LEAST_WORDS, near: int = NEAR_WORDS) -> DataFrame:
     """docs with the repeated lines cut from text; the other columns pass through, but n_chars follows the text.
 
     Texts that lose nothing stay as they are, nulls too. A text that loses every line becomes empty.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    gone = repeated_lines(docs).groupBy(F.col("doc_id").alias("_key")).agg(F.collect_set("line").alias("_gone"))
+    gone = repeated_lines(docs, least, near).groupBy(F.col("doc_id").alias("_key")).agg(F.collect_set("line").alias("_gone"))
     lines = F.split(F.col("text"), "\n", -1)
     kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda x: ~F.array_contains("_gone", x["i"].cast("long")))["x"], "\n")
     text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
@@ -225,5 +248,5 @@ def without_lines(docs: DataFrame) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repeated_lines(table(spark, sf_dir, "documents"))
+    out = repeated_lines(table(spark, sf_dir, "documents"), **EVERY)
     return out.select(public_id(), "line", public_id("first_doc_id"), "first_line", "edits")

@@ -120,6 +120,36 @@ def test_line_dedup(docs, texts, odd):
     assert line_dedup.without_lines(odd).count() == odd.count() and line_dedup.repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_short_lines_and_scripts_without_spaces(spark):
+    r = random.Random(4)
+    han = [chr(0x4E00 + i) for i in range(60)]
+    lines = ["all rights reserved.", "All  rights reserved.", "les.", "LES.", "", " ", "a b c d", "a b x d", "a b c", "日本", "日 本", "x日本y", "x 日 本 y"]
+    for _ in range(60):
+        lines.append(" ".join(r.choice("abc") for _ in range(r.randint(1, 7))))
+        base = r.choices(han, k=12)
+        at = r.randrange(12)
+        lines += ["".join(base), "".join(base[:at] + base[at + 1 :]), "".join([*base[:at], "丁", *base[at + 1 :]])]
+    r.shuffle(lines)
+    unit = re.compile(r"[\u3000-\u9fff]|[^\s\u3000-\u9fff]+")
+    first, want = {}, {}
+    for i, t in enumerate(lines):
+        w = tuple(unit.findall(t.lower()))
+        if not w:
+            continue
+        if w in first:
+            want[i // 5, i % 5] = (0, *first[w])
+            continue
+        without = lambda v: {(k, v[:k] + v[k + 1 :]) for k in range(len(v))}
+        near = [p for v, p in first.items() if min(len(v), len(w)) >= 4 and (without(v) & without(w) or v in {x for _, x in without(w)} or w in {x for _, x in without(v)})]
+        if near:
+            want[i // 5, i % 5] = (1, *min(near))
+        first[w] = (i // 5, i % 5)
+    rows = [(d, "\n".join(lines[5 * d : 5 * d + 5])) for d in range(-(-len(lines) // 5))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(x.doc_id, x.line): (x.edits, x.first_doc_id, x.first_line) for x in line_dedup.repeated_lines(df, **line_dedup.EVERY).collect()}
+    assert got == want and {v[0] for v in want.values()} == {0, 1}
+
+
 def test_jaccard_join(docs, texts, odd, monkeypatch):
     sets = {}
     for d, t in texts.items():
