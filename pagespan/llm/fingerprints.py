@@ -6,8 +6,7 @@ least key over the terms is the slot's sample. Two texts agree in a slot with th
 Jaccard similarity: the sum of least weights over the sum of greatest. A key is a function of slot, term and t, so
 equal keys stand for equal samples.
 
-Terms are dealt to GROUPS classes by hash, and each class has its own SLOTS / GROUPS slots: the similarity within a
-class is an unbiased view of the whole, and every term is sampled a few times and not once per slot.
+Every term is sampled in every slot, so the share of equal slots is an unbiased estimate for skewed bags too.
 """
 
 from __future__ import annotations
@@ -18,8 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, documents, durable, partitions, public_id, table
 
-GROUPS, PER_GROUP = 8, 8
-SLOTS = GROUPS * PER_GROUP
+SLOTS = 64
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
 _UNIT = 2.0**-31
 
@@ -41,17 +39,14 @@ def sample_key(term: Column, log_weight: Column, slot: int) -> Column:
 
 
 def samples(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, then slots: array of SLOTS doubles (null where a class has no terms).
+    """keys, then slots: array of SLOTS doubles.
 
     No shuffle happens if texts is already dealt out by some of the keys. Texts without words have no row.
     """
     terms = texts.select(*keys, F.explode(F.split(F.col(text), SEPARATORS)).alias("w")).where("w != ''").select(*keys, F.xxhash64("w").alias("term"))
     bag = terms.groupBy(*keys, "term").agg(F.log(F.count("*").cast("double")).alias("lw"))
-    mixed = F.xxhash64("term", F.lit(-1))
-    least = bag.groupBy(*keys, F.pmod(mixed, F.lit(GROUPS)).cast("int").alias("g")).agg(*(F.min(sample_key(F.col("term"), F.col("lw"), j)).alias(f"k{j}") for j in range(PER_GROUP)))
-    none = F.array(*[F.lit(None).cast("double")] * PER_GROUP)
-    by_group = least.groupBy(*keys).agg(*(F.max(F.when(F.col("g") == g, F.array(*(f"k{j}" for j in range(PER_GROUP))))).alias(f"g{g}") for g in range(GROUPS)))
-    return by_group.select(*keys, F.concat(*(F.coalesce(f"g{g}", none) for g in range(GROUPS))).alias("slots"))
+    least = bag.groupBy(*keys).agg(*(F.min(sample_key(F.col("term"), F.col("lw"), j)).alias(f"k{j}") for j in range(SLOTS)))
+    return least.select(*keys, F.array(*(f"k{j}" for j in range(SLOTS))).alias("slots"))
 
 
 def fingerprint(slots: Column) -> Column:

@@ -259,6 +259,18 @@ def test_fingerprints(docs, texts, odd):
     assert fingerprints.fingerprints(odd).count() == odd.count() and fingerprints.fingerprints(docs.limit(0)).count() == 0
 
 
+def test_fingerprints_of_skewed_bags(spark):
+    pairs, kinds = 30, {1000: 1000 / 1200, 100: 100 / 300}  # one common word so many times, and 100 words of each text's own
+    own = lambda k, p, side: " ".join([f"c{k}x{p}"] * k + [f"w{k}x{p}x{side}x{i}" for i in range(100)])
+    rows = [(k, p, side, own(k, p, side)) for k in kinds for p in range(pairs) for side in (0, 1)]
+    made = fingerprints.samples(spark.createDataFrame(rows, "k int, p int, side int, text string"), ["k", "p", "side"])
+    f = made.select("k", "p", "side", fingerprints.fingerprint(F.col("slots")).alias("f"))
+    both = f.where("side = 0").join(f.where("side = 1").select("k", "p", F.col("f").alias("g")), ["k", "p"])
+    got = both.groupBy("k").agg(F.avg(fingerprints.likeness(F.col("f"), F.col("g"))).alias("mean"), F.count("*").alias("n")).collect()
+    assert {r.k: r.n for r in got} == dict.fromkeys(kinds, pairs)
+    assert all(abs(r.mean - kinds[r.k]) < 0.04 for r in got)
+
+
 def test_decontamination(spark, docs):
     item = "If a train leaves Paris at 12 km per hour and meets Anna after 7 hours then how far did Anna go with 12 apples today"
     again = item.replace("Paris", "Rome").replace("12", "45").replace("Anna", "Olga").replace("7", "9")
