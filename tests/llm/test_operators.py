@@ -336,6 +336,71 @@ def test_lm_trains_on_every_document(monkeypatch):
     assert out.column("tokens").to_pylist() == [140_000.0]
 
 
+def test_gru_scores_as_a_plain_loop_does():
+    from pagespan.llm import gru
+
+    r = np.random.default_rng(5)
+    mass = np.sort(r.integers(1, 900, 40))[::-1].astype(float)
+    cut = gru.classes(mass)
+    p = {k: (r.standard_normal(v.shape) * 0.6).astype(np.float32) for k, v in gru.initial(mass).items()}
+    docs = [r.integers(0, 40, n).astype(np.uint16) for n in [*r.integers(1, 90, 700).tolist(), 2500]]
+    p64 = {k: v.astype(np.float64) for k, v in p.items()}
+    sigmoid, H = lambda x: 1 / (1 + np.exp(-x)), gru.HIDDEN
+    log_softmax = lambda x: x - np.log(np.exp(x).sum())
+
+    def plain(doc):
+        h, before, total = np.zeros(H), 40, 0.0
+        for k in doc.tolist():
+            g, u = p64["emb"][before] @ p64["wx"] + p64["bg"], h @ p64["wh"]
+            z, q = sigmoid(g[:H] + u[:H]), sigmoid(g[H : 2 * H] + u[H : 2 * H])
+            c = np.tanh(g[2 * H :] + q * u[2 * H :])
+            h = z * h + (1 - z) * c
+            of = int(np.searchsorted(cut, k, "right")) - 1
+            a, b = cut[of], cut[of + 1]
+            total += log_softmax(h @ p64["wc"] + p64["bc"])[of]
+            total += log_softmax(p64["wu"][a:b] @ h + p64["bu"][a:b])[k - a] if b - a > 1 else 0
+            before = k
+        return total
+
+    some = [*range(0, 700, 50), 700]
+    got = gru.score(p, cut, docs)
+    assert [got[i] for i in some] == pytest.approx([plain(docs[i]) for i in some], rel=1e-4)
+
+
+def test_gru_gradient():
+    from pagespan.llm import gru
+
+    r = np.random.default_rng(6)
+    mass = np.array([50.0, 20, 10, 5, 3, 1])
+    docs = [r.integers(0, 6, n) for n in (5, 11, 3)]
+    t = gru.Trainer({k: (r.standard_normal(v.shape) * 0.5).astype(np.float32) for k, v in gru.initial(mass).items()}, gru.classes(mass))
+    seen = []
+    t._step = lambda n: seen.append(t.g.astype(np.float64))
+    t.learn(docs)  # shorter than a window, so one step holds the whole gradient
+    (g,), w = seen, t.w.copy()
+    loss = lambda x: -gru.score(gru.shaped(x, t.p), t.cut, docs).sum()
+    for i in r.choice(np.flatnonzero(np.abs(g) > 0.05), 40, replace=False):
+        step = np.zeros_like(w)
+        step[i] = 1e-2
+        assert (loss(w + step) - loss(w - step)) / 2e-2 == pytest.approx(g[i], rel=0.05, abs=5e-3)
+
+
+def test_lm_scores_a_very_long_text_in_bounded_memory():
+    import tracemalloc
+
+    from pagespan.llm import gru
+
+    mass = np.array([50.0, 20, 10, 5, 3, 1])
+    r = np.random.default_rng(7)
+    docs = [r.integers(0, 6, n).astype(np.uint16) for n in [*[40] * 600, 300_000]]
+    p, cut = gru.initial(mass), gru.classes(mass)
+    tracemalloc.start()
+    got = gru.score(p, cut, docs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got < 0).all() and most < 40 << 20
+
+
 def test_gru_trains_to_the_end_of_every_stream():
     from pagespan.llm import gru
 
