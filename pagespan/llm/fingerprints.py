@@ -1,12 +1,15 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
-A text is a bag of words weighted by their counts. For slot j and term k with weight w, hashes of (j, k) give two
-gamma variates r and c and a uniform b; t = floor(ln w / r + b), and the term's key is ln c - r (t - b + 1). The
-least key over the terms is the slot's sample. Two texts agree in a slot with the probability of their generalised
-Jaccard similarity: the sum of least weights over the sum of greatest. A key is a function of slot, term and t, so
-equal keys stand for equal samples.
-
-Every term is sampled in every slot, so the share of equal slots is an unbiased estimate for skewed bags too.
+A text is a bag of words weighted by their counts. For slot j and term k with weight w, hashes of (j, k) give uniforms
+u1, u2, u3, u4, and with them the gamma variates r = -ln u1 - ln u2 and c = -ln u3 - ln u4 and a uniform b = ln u2 /
+(ln u1 + ln u2), which doesn't hang on r. t = floor(ln w / r + b), and the term's key is c exp(-r (t - b + 1)). The least
+key over the terms is the slot's sample. Two texts agree in a slot with the probability of their generalised Jaccard
+similarity: the sum of least weights over the sum of greatest. A key is a function of slot, term and t, so equal keys
+stand for equal samples. For t = 0, as for all terms that occur once, r (1 - b) = -ln u1 and the key is c u1, which
+costs one hash and one logarithm.
+
+Every term is sampled in every slot, so the share of equal slots is an unbiased estimate for skewed bags too. A slot is
+kept as 16 bits, so unequal slots agree by chance once in 65,536 times.
 """
 
 from __future__ import annotations
@@ -15,27 +18,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, documents, durable, partitions, public_id, table
+from .common import documents, durable, partitions, public_id, table
 
 SLOTS = 64
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
-_UNIT = 2.0**-31
 
 
-def _uniforms(term: Column, slot: int) -> tuple[Column, Column, Column, Column, Column]:
-    """Five uniforms in (0, 1) from two hashes of the term: two halves of each, and one of mixed bits."""
-    a, b = F.xxhash64(term, F.lit(2 * slot)), F.xxhash64(term, F.lit(2 * slot + 1))
-    half = lambda x: (x.bitwiseAND(0x7FFFFFFF).cast("double") + 0.5) * _UNIT
-    high = lambda x: half(F.shiftrightunsigned(x, 32))
-    return half(a), high(a), half(b), high(b), half(F.shiftright(a, 16).bitwiseXOR(F.shiftright(b, 15)))
+def _uniform(bits: Column, n: int) -> Column:
+    """(0, 1) from a number of n bits."""
+    return (bits.cast("double") + 0.5) * 2.0**-n
 
 
 def sample_key(term: Column, log_weight: Column, slot: int) -> Column:
-    u1, u2, u3, u4, u5 = _uniforms(term, slot)
-    r = -F.log(u1 * u2)
-    log_c = F.log(-F.log(u3 * u4))
-    t = F.floor(log_weight / r + u5)
-    return log_c - r * (t - u5 + 1.0)
+    h = F.xxhash64(term, F.lit(slot))
+    u1 = _uniform(F.shiftrightunsigned(h, 32), 32)
+    c = -F.log(_uniform(h.bitwiseAND(0xFFFF), 16) * _uniform(F.shiftrightunsigned(h, 16).bitwiseAND(0xFFFF), 16))
+    e1, e2 = -F.log(u1), -F.log(_uniform(F.shiftrightunsigned(F.xxhash64(term, F.lit(SLOTS + slot)), 32), 32))
+    r = e1 + e2
+    b = e2 / r
+    t = F.floor(log_weight / r + b)
+    # a branch is computed only where it holds
+    return c * F.when(log_weight == 0, u1).otherwise(F.when(t == 0, u1).otherwise(F.exp(-r * (t - b + 1.0))))
 
 
 def samples(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -64,35 +67,57 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(used == 0, F.lit(1.0)).otherwise(same / F.greatest(used, F.lit(1))).cast("double")
 
 
-def with_next(docs: DataFrame, rows_per_bucket: int = 2048) -> DataFrame:
+def _bounds(rows: DataFrame, n: int) -> list[tuple[int, int]]:
+    """At most n - 1 keys (order, tie) that cut rows into about equal ranges, of a sample of about 32 n keys. They only say
+    where a row is worked on."""
+    keys = rows.select("order", "tie")
+    count = keys.count()
+    got = sorted(map(tuple, keys.sample(min(1.0, 32 * n / max(count, 1)), 1).collect()))
+    return sorted({got[i * len(got) // n] for i in range(1, n)}) if got else []
+
+
+def _range_of(order: Column, tie: Column, bounds: list[tuple[int, int]]) -> Column:
+    """Number of bounds that are not greater, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    first, second = (F.lit([b[i] for b in bounds]).cast("array<bigint>") for i in (0, 1))
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+
+    def step(at: Column, size: Column) -> Column:
+        i = at + size - 1
+        x, y = F.get(first, i), F.get(second, i)
+        return F.when((i < len(bounds)) & ((x < order) | ((x == order) & (y <= tie))), at + size).otherwise(at)
+
+    # never null, so both readers of the dealt rows share one exchange
+    return F.coalesce(F.aggregate(F.lit(steps).cast("array<int>"), F.lit(0), step), F.lit(0))
+
+
+def with_next(docs: DataFrame) -> DataFrame:
     """bucket, place (in its range), last, doc_id, text, next_text: the text of the next row by descending doc_id, after the last the first.
 
-    Ids are cut into ranges of even width that hold about rows_per_bucket rows; the successor is found within a
-    range, and each range's last row takes the first of the nearest lower range that has rows. Rows that tie by id
-    follow each other by text.
+    Rows are cut into ranges of about equal size by doc_id and, among equal ones, by a hash of the text; the successor
+    is found within a range, and each range's last row takes the first of the next range that has rows. Rows that tie by
+    id follow each other by that hash, then by text. Any 64-bit ids will do; those that are null come last.
     """
     spark = docs.sparkSession
-    rows = documents(docs)
-    low, high, n = rows.where(F.col("doc_id") != NO_ID).agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high, n = low or 0, high or 0, n or 0
-    width = max(1, (high - low + 1) * rows_per_bucket // max(n, 1))
-    bucket = F.when(F.col("doc_id") == NO_ID, F.lit(-1)).otherwise(F.floor((F.col("doc_id") - low) / F.lit(width))).cast("long")
-    rows = rows.withColumn("bucket", F.coalesce(bucket, F.lit(-1)))  # never null, so both readers of the dealt rows share one exchange
-    order = Window.partitionBy("bucket").orderBy(F.desc("doc_id"), "text")
-    # one text for each range; each task sends one row a range at most
-    firsts = durable(rows.groupBy("bucket").agg(F.min_by("text", F.struct(F.bitwise_not("doc_id"), F.col("text"))).alias("value")))
-    dealt = rows.repartition(4 * partitions(spark), "bucket").select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("following"), F.lead(F.lit(1)).over(order).isNull().alias("last"))
+    tasks = 4 * partitions(spark)
+    rows = documents(docs).select(F.bitwise_not("doc_id").alias("order"), F.xxhash64("text").alias("tie"), "text")
+    rows = rows.withColumn("bucket", _range_of(F.col("order"), F.col("tie"), _bounds(rows, 2 * tasks)))
+    order = Window.partitionBy("bucket").orderBy("order", "tie", "text")
+    # one text for each range; each task sends one row a range at most, and there are few ranges for each task
+    firsts = durable(rows.groupBy("bucket").agg(F.min_by("text", F.struct("order", "tie", "text")).alias("value")))
+    dealt = rows.repartition(tasks, "bucket").select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("following"), F.lead(F.lit(1)).over(order).isNull().alias("last"))
     # joined by range, and used by the last row of each alone: the rows stay where they are
-    out = dealt.join(_below(firsts).hint("shuffle_hash"), "bucket", "left")
-    return out.select("bucket", "place", "last", "doc_id", "text", F.when(F.col("last"), F.col("value")).otherwise(F.col("following")).alias("next_text"))
+    out = dealt.join(_after(firsts).hint("shuffle_hash"), "bucket", "left")
+    return out.select("bucket", "place", "last", F.bitwise_not("order").alias("doc_id"), "text", F.when(F.col("last"), F.col("value")).otherwise(F.col("following")).alias("next_text"))
 
 
-def _below(firsts: DataFrame) -> DataFrame:
-    """bucket, value: the value of the nearest lower range; the lowest range takes the highest's."""
-    # one number for every rows_per_bucket documents is all that meets in one task
-    seen = firsts.select("bucket", F.lead("bucket").over(Window.orderBy(F.desc("bucket"))).alias("next"), F.max("bucket").over(Window.partitionBy()).alias("top"))
-    below = seen.select("bucket", F.coalesce("next", "top").alias("below"))
-    return below.join(firsts.withColumnRenamed("bucket", "below"), "below").select("bucket", "value")
+def _after(firsts: DataFrame) -> DataFrame:
+    """bucket, value: the value of the next range that has rows; the last range takes the first's."""
+    # a number for each range is all that meets in one task: eight for each shuffle partition, however long the table is
+    seen = firsts.select("bucket", F.lead("bucket").over(Window.orderBy("bucket")).alias("next"), F.min("bucket").over(Window.partitionBy()).alias("top"))
+    after = seen.select("bucket", F.coalesce("next", "top").alias("after"))
+    return after.join(firsts.withColumnRenamed("bucket", "after"), "after").select("bucket", "value")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -119,7 +144,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     full = durable(full)  # fingerprints and lengths only
     order = Window.partitionBy("bucket").orderBy("place")
     full = full.withColumn("following", F.lead("fingerprint").over(order))
-    full = full.join(_below(full.where("place = 1").select("bucket", F.col("fingerprint").alias("value"))).hint("shuffle_hash"), "bucket", "left")
+    full = full.join(_after(full.where("place = 1").select("bucket", F.col("fingerprint").alias("value"))).hint("shuffle_hash"), "bucket", "left")
     following = F.when(F.col("last"), F.col("value")).otherwise(F.col("following"))
     f = F.col("fingerprint")
     return full.select(public_id(), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(f, F.col("edited_fingerprint")).alias("near_edited"), likeness(f, following).alias("near_next"))
