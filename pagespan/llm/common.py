@@ -27,6 +27,28 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+_SLOTS = 1 << 20
+
+
+def tied(docs: DataFrame) -> DataFrame:
+    """docs with _id (null as NO_ID) and _tie: 0, but for ids that several rows share a hash of the text. So _id and _tie
+    name a document: rows that share an id and a text are one, rows that share an id alone are ordered by that hash.
+
+    Whether an id is shared is asked of a table of at most _SLOTS hashes of such ids, which is broadcast; a unique id that
+    falls in one of them gets a hash for its tie too, which changes nothing.
+    """
+    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    slot = F.pmod(F.xxhash64("_id"), F.lit(_SLOTS))
+    shared = rows.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").select(slot.alias("_slot"), F.lit(True).alias("_hit")).distinct()
+    both = rows.withColumn("_slot", slot).join(F.broadcast(shared), "_slot", "left")
+    return both.select(*docs.columns, "_id", F.when(F.col("_hit"), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0)).cast("long").alias("_tie"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """documents() with a column tie before text, as of tied()."""
+    return tied(documents(docs)).select(F.col("_id").alias("doc_id"), F.col("_tie").alias("tie"), "text")
+
+
 def public_id(c: str = "doc_id") -> Column:
     """NO_ID back to null."""
     return F.when(F.col(c) != NO_ID, F.col(c)).alias(c)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import documents, partitions, prepare, public_id, table
+from .common import keyed, partitions, prepare, public_id, table, tied
 
 #: Bounds that a caller gets without asking: lines of fewer words stay; lines of fewer than NEAR_WORDS are compared exactly.
 LEAST_WORDS, NEAR_WORDS = 4, 8
@@ -88,16 +88,16 @@ def _whole(least: int):
     def whole_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each line of `least` words or more: its hash, and the hashes of its halves."""
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j in W.slices(batch.column(1)):
-                w, doc, line = _lines(*W.raw(batch.column(1).slice(i, j - i)))
+            ids, ties = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for i, j in W.slices(batch.column(2)):
+                w, doc, line = _lines(*W.raw(batch.column(2).slice(i, j - i)))
                 n = np.diff(w.first)
                 at = np.flatnonzero(n >= least)
                 if not len(at):
                     continue
                 sums, a, b, n = Sums(w.hashes()), w.first[:-1][at], w.first[1:][at], n[at]
                 whole = _final(sums.range(a, b), n, 0)
-                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(ids[i:j][doc[at]]), pa.array(line[at].astype(np.int64)), pa.array(n.astype(np.int32)), *(pa.array(k.view(np.int64)) for k in _halves(sums, a, b, n))], ["whole", "doc_id", "line", "n", "p0", "p1", "s0", "s1"])
+                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(ids[i:j][doc[at]]), pa.array(ties[i:j][doc[at]]), pa.array(line[at].astype(np.int64)), pa.array(n.astype(np.int32)), *(pa.array(k.view(np.int64)) for k in _halves(sums, a, b, n))], ["whole", "doc_id", "tie", "line", "n", "p0", "p1", "s0", "s1"])
 
     return whole_lines
 
@@ -115,7 +115,7 @@ def _halves(sums: Sums, a, b, n):
 def _variants(n_bucket: int, near: int):
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, ties = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "tie"))
             text, active = batch.column("text"), batch.column("active")
             for i, j in W.slices(text, 1 << 20):
                 w, doc, line = _lines(*W.raw(text.slice(i, j - i)))
@@ -146,79 +146,87 @@ def _variants(n_bucket: int, near: int):
                 for x in range(0, len(key), 1 << 16):
                     y = slice(x, x + (1 << 16))
                     r = at[row[y]]
-                    yield pa.RecordBatch.from_arrays([pa.array((key[y] % np.uint64(n_bucket)).astype(np.int32)), pa.array(key[y].view(np.int64)), pa.array(ids[i:j][doc[r]]), pa.array(line[r].astype(np.int32)), pa.array(place[y].astype(np.int32))], ["bucket", "key", "doc_id", "line", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array((key[y] % np.uint64(n_bucket)).astype(np.int32)), pa.array(key[y].view(np.int64)), pa.array(ids[i:j][doc[r]]), pa.array(ties[i:j][doc[r]]), pa.array(line[r].astype(np.int32)), pa.array(place[y].astype(np.int32))], ["bucket", "key", "doc_id", "tie", "line", "place"])
 
     return variants
 
 
 def _join(t: pa.Table) -> pa.Table:
     """Lines that have an earlier line within one edit, by equal variants."""
-    key, doc, line, place = (t.column(c).to_numpy() for c in ("key", "doc_id", "line", "place"))
+    key, doc, tie, line, place = (t.column(c).to_numpy() for c in ("key", "doc_id", "tie", "line", "place"))
     # a variant whose key occurs once joins nothing
     order = np.argsort(key, kind="stable")
     s = key[order]
     same = np.zeros(len(s) + 1, bool)
     same[1:-1] = s[1:] == s[:-1]
     order = order[same[1:] | same[:-1]]
-    order = order[np.lexsort((line[order], doc[order], place[order], key[order]))]
-    key, doc, line, place = key[order], doc[order], line[order], place[order]
-    out = []
+    order = order[np.lexsort((line[order], tie[order], doc[order], place[order], key[order]))]
+    key, doc, tie, line, place = (x[order] for x in (key, doc, tie, line, place))
+    late, lead = [], []
     if len(order):
         # replaced: equal key and place; the first of each run is the earliest
         new = np.append(True, (key[1:] != key[:-1]) | (place[1:] != place[:-1]))
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        late = (place != _FULL) & ((doc != doc[lead]) | (line != line[lead]))
-        out.append((doc[late], line[late], doc[lead][late], line[lead][late]))
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        at = np.flatnonzero((place != _FULL) & ((doc != doc[head]) | (tie != tie[head]) | (line != line[head])))
+        late.append(at)
+        lead.append(head[at])
         # inserted or deleted: whole lines against variants of the same key (whole lines sort first)
         group = np.append(True, key[1:] != key[:-1])
         head = np.flatnonzero(group)[np.cumsum(group) - 1]
-        whole = place[head] == _FULL
-        variant = np.flatnonzero(whole & (place != _FULL))
-        h = head[variant]
-        earlier = (doc[h] < doc[variant]) | ((doc[h] == doc[variant]) & (line[h] < line[variant]))
-        v, g = variant[earlier], h[earlier]
-        out.append((doc[v], line[v], doc[g], line[g]))
-        v, g = variant[~earlier], h[~earlier]
+        v = np.flatnonzero((place[head] == _FULL) & (place != _FULL))
+        g = head[v]
+        earlier = (doc[g] < doc[v]) | ((doc[g] == doc[v]) & ((tie[g] < tie[v]) | ((tie[g] == tie[v]) & (line[g] < line[v]))))
+        late.append(v[earlier])
+        lead.append(g[earlier])
+        v, g = v[~earlier], g[~earlier]
         if len(v):  # the whole line is the later one: its earliest partner
-            o = np.lexsort((line[v], doc[v], g))
+            o = np.lexsort((line[v], tie[v], doc[v], g))
             v, g = v[o], g[o]
             f = np.append(True, g[1:] != g[:-1])
-            v, g = v[f], g[f]
-            out.append((doc[g], line[g], doc[v], line[v]))
-    cols = [np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(4)]
-    return pa.table({n: pa.array(c.astype(np.int64)) for n, c in zip(("doc_id", "line", "first_doc_id", "first_line"), cols, strict=True)})
-
+            late.append(g[f])
+            lead.append(v[f])
+    x, y = (np.concatenate(k) if k else np.zeros(0, np.int64) for k in (late, lead))
+    cols = {"doc_id": doc[x], "tie": tie[x], "line": line[x], "first_doc_id": doc[y], "first_tie": tie[y], "first_line": line[y]}
+    return pa.table({n: pa.array(c.astype(np.int64)) for n, c in cols.items()})
 
-def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS, near: int = NEAR_WORDS) -> DataFrame:
-    """One row per removed line: doc_id, line (from 0), first_doc_id, first_line, edits (0: equal words, 1: one edit).
 
-    A line goes if an earlier line (smaller doc_id, or the same document and earlier) has the same words (A-Z in lower
-    case, white space aside) or, among lines of `near` words or more, is one word edit away; judged on the
-    input, not on what is left. first_* name the earliest equal line, else the earliest line one edit away. Lines of
-    fewer than `least` words stay. Rows that share a doc_id count as one document: repeated rows remove nothing
-    from each other. Null and empty texts have no lines to remove. Words are compared by 64-bit hashes.
-    """
-    spark = docs.sparkSession
+def _gone(rows: DataFrame, least: int, near: int) -> DataFrame:
+    """doc_id, tie, line, first_doc_id, first_line, edits of the lines that go."""
+    spark = rows.sparkSession
     prepare(spark)
-    rows = documents(docs)
     n = 8 * partitions(spark)
-    lines = rows.mapInArrow(_whole(least), "whole long, doc_id long, line long, n int, p0 long, p1 long, s0 long, s1 long")
+    lines = rows.mapInArrow(_whole(least), "whole long, doc_id long, tie long, line long, n int, p0 long, p1 long, s0 long, s1 long")
+    place = ["doc_id", "tie", "line"]
     # distinct lines with their earliest place: tasks combine copies first, so a very common line stays small
-    kinds = lines.groupBy("whole").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in ("p0", "p1", "s0", "s1")))
-    exact = lines.select("whole", "doc_id", "line").join(kinds.select("whole", "first"), "whole")
-    exact = exact.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("line") != F.col("first.line")))
-    exact = exact.select("doc_id", "line", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"), F.lit(0).alias("edits"))
+    kinds = lines.groupBy("whole").agg(F.min(F.struct(*place)).alias("first"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in ("p0", "p1", "s0", "s1")))
+    exact = lines.select("whole", *place).join(kinds.select("whole", "first"), "whole")
+    exact = exact.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("tie") != F.col("first.tie")) | (F.col("line") != F.col("first.line")))
+    exact = exact.select(*place, *(F.col(f"first.{c}").alias(f"first_{c}") for c in place), F.lit(0).alias("edits"))
 
-    halves = kinds.where(F.col("n") >= near).select(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), F.explode(F.array(*(F.struct(F.col(c).alias("half"), F.lit(side).alias("side")) for c, side in (("p0", 1), ("p1", 1), ("s0", 2), ("s1", 2))))).alias("x"))
-    halves = halves.select("doc_id", "line", "x.*").distinct()
+    halves = kinds.where(F.col("n") >= near).select(*(F.col(f"first.{c}").alias(c) for c in place), F.explode(F.array(*(F.struct(F.col(c).alias("half"), F.lit(side).alias("side")) for c, side in (("p0", 1), ("p1", 1), ("s0", 2), ("s1", 2))))).alias("x"))
+    halves = halves.select(*place, "x.*").distinct()
     bucketed = halves.withColumn("bucket", F.pmod("half", F.lit(n)).cast("int"))
-    active = bucketed.groupBy("bucket").applyInArrow(_shared, "doc_id long, line long, side int")
-    active = active.groupBy("doc_id", "line").agg(F.bit_or("side").alias("side")).groupBy("doc_id").agg(F.collect_list(F.col("line") * 4 + F.col("side")).alias("active"))
-    close = rows.join(active.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "active")
-    close = close.mapInArrow(_variants(n, near), "bucket int, key long, doc_id long, line int, place int")
-    close = close.groupBy("bucket").applyInArrow(_join, "doc_id long, line long, first_doc_id long, first_line long")
+    active = bucketed.groupBy("bucket").applyInArrow(_shared, "doc_id long, tie long, line long, side int")
+    active = active.groupBy(*place).agg(F.bit_or("side").alias("side")).groupBy("doc_id", "tie").agg(F.collect_list(F.col("line") * 4 + F.col("side")).alias("active"))
+    close = rows.join(active.hint("shuffle_hash"), ["doc_id", "tie"]).select("doc_id", "tie", "text", "active")
+    close = close.mapInArrow(_variants(n, near), "bucket int, key long, doc_id long, tie long, line int, place int")
+    close = close.groupBy("bucket").applyInArrow(_join, "doc_id long, tie long, line long, first_doc_id long, first_tie long, first_line long")
     every = exact.union(close.withColumn("edits", F.lit(1)))
-    return every.groupBy("doc_id", "line").agg(F.min(F.struct("edits", "first_doc_id", "first_line")).alias("x")).select("doc_id", "line", "x.first_doc_id", "x.first_line", "x.edits")
+    return every.groupBy(*place).agg(F.min(F.struct("edits", "first_doc_id", "first_tie", "first_line")).alias("x")).select(*place, "x.first_doc_id", "x.first_line", "x.edits")
+
+
+def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS, near: int = NEAR_WORDS) -> DataFrame:
+    """One row per removed line: doc_id, tie, line (from 0), first_doc_id, first_line, edits (0: equal words, 1: one edit).
+
+    A line goes if an earlier line (smaller doc_id, or the same document and earlier) has the same words (A-Z in lower
+    case, white space aside) or, among lines of `near` words or more, is one word edit away; judged on the
+    input, not on what is left. first_* name the earliest equal line, else the earliest line one edit away. Lines of
+    fewer than `least` words stay. Rows that share a doc_id and a text are one document, and remove nothing from each
+    other; rows that share a doc_id alone are documents in the order of a hash of their texts, and tie tells them apart.
+    Null ids are shared in this sense and come first. Null and empty texts have no lines to remove. Words are
+    compared by 64-bit hashes.
+    """
+    return _gone(keyed(docs), least, near).select(public_id(), "tie", "line", public_id("first_doc_id"), "first_line", "edits")
 
 
 def _shared(t: pa.Table) -> pa.Table:
@@ -228,25 +236,25 @@ def _shared(t: pa.Table) -> pa.Table:
     s = half[order]
     same = np.zeros(len(s) + 1, bool)
     same[1:-1] = s[1:] == s[:-1]
-    return t.select(["doc_id", "line", "side"]).take(pa.array(order[same[1:] | same[:-1]]))
+    return t.select(["doc_id", "tie", "line", "side"]).take(pa.array(order[same[1:] | same[:-1]]))
 
 
 def without_lines(docs: DataFrame, least: int = LEAST_WORDS, near: int = NEAR_WORDS) -> DataFrame:
     """docs with the repeated lines cut from text; the other columns pass through, but n_chars follows the text.
 
-    Texts that lose nothing stay as they are, nulls too. A text that loses every line becomes empty.
+    Texts that lose nothing stay as they are, nulls too. A text that loses every line becomes empty. Which rows are one
+    document is said at repeated_lines(): they lose the same lines.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    gone = repeated_lines(docs, least, near).groupBy(F.col("doc_id").alias("_key")).agg(F.collect_set("line").alias("_gone"))
-    lines = F.split(F.col("text"), "\n", -1)
-    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda x: ~F.array_contains("_gone", x["i"].cast("long")))["x"], "\n")
-    text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
-    out = docs.withColumn("_key", key).join(gone.hint("shuffle_hash"), "_key", "left").withColumn("text", text)
+    gone = _gone(keyed(docs), least, near).groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.collect_set(F.col("line").cast("int")).alias("_gone"))
+    both = tied(docs).join(gone.hint("shuffle_hash"), ["_id", "_tie"], "left").withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split("text", "\n", -1)))
+    # set difference hashes, so long texts that lose many lines take linear time
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
+    kept = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
+    out = both.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col("_lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repeated_lines(table(spark, sf_dir, "documents"), **EVERY)
-    return out.select(public_id(), "line", public_id("first_doc_id"), "first_line", "edits")
+    return repeated_lines(table(spark, sf_dir, "documents"), **EVERY).drop("tie")

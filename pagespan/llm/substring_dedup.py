@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import documents, partitions, prepare, public_id, table
+from .common import keyed, partitions, prepare, public_id, table
 
 WINDOW, MINIMISER = 20, 6
 FLUSH = 32 << 20
@@ -31,13 +31,13 @@ def _pack(n_bucket: int, window: int, m: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j in W.slices(batch.column(1)):
-                buf, off = W.raw(batch.column(1).slice(i, j - i))
-                got = _super(buf, off, ids[i:j], window, m)
+            ids, ties = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for i, j in W.slices(batch.column(2)):
+                buf, off = W.raw(batch.column(2).slice(i, j - i))
+                got = _super(buf, off, ids[i:j], ties[i:j], window, m)
                 if got is not None:
                     held.append(got)
-                    size += sum(map(len, got[5]))
+                    size += sum(map(len, got[6]))
                 if size > FLUSH:
                     yield _blobs(held, n_bucket)
                     held, size = [], 0
@@ -47,8 +47,8 @@ def _pack(n_bucket: int, window: int, m: int):
     return pack
 
 
-def _super(buf, off, ids, window, m):
-    """Super-k-mers: minimiser, hash, document, first word, number of words, text."""
+def _super(buf, off, ids, ties, window, m):
+    """Super-k-mers: minimiser, hash, document's id and tie, first word, number of words, text."""
     w = W.split(buf, off)
     at = W.inside(w.first, window)
     if not len(at):
@@ -67,15 +67,15 @@ def _super(buf, off, ids, window, m):
     data = memoryview(buf.tobytes())
     text = [bytes(data[s:e]) for s, e in zip(w.start[a].tolist(), w.end[b - 1].tolist(), strict=True)]
     of = w.text_of()[a]
-    return low[k], key, ids[of], a - w.first[of], b - a, text
+    return low[k], key, ids[of], ties[of], a - w.first[of], b - a, text
 
 
 def _blobs(held, n_bucket: int) -> pa.RecordBatch:
-    low, key, doc, pos, n = (np.concatenate([x[i] for x in held]) for i in range(5))
-    text = [t for x in held for t in x[5]]
+    low, key, doc, tie, pos, n = (np.concatenate([x[i] for x in held]) for i in range(6))
+    text = [t for x in held for t in x[6]]
     bucket = (low % np.uint64(n_bucket)).astype(np.int64)
     order = np.lexsort((pos, doc, n, key, bucket))
-    bucket, key, doc, pos, n = bucket[order], key[order], doc[order], pos[order], n[order]
+    bucket, key, doc, tie, pos, n = (x[order] for x in (bucket, key, doc, tie, pos, n))
     lead = np.ones(len(order), bool)
     lead[1:] = (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1]) | (n[1:] != n[:-1])
     group = np.flatnonzero(lead)
@@ -85,7 +85,7 @@ def _blobs(held, n_bucket: int) -> pa.RecordBatch:
     for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(group)], strict=True):
         s, e = int(group[x]), int(group[y]) if y < len(group) else len(order)
         own = [text[i] for i in order[group[x:y]].tolist()]
-        blob = struct.pack("<ii", y - x, e - s) + np.array([len(t) for t in own], np.int32).tobytes() + count[x:y].astype(np.int32).tobytes() + doc[s:e].astype(np.int64).tobytes() + pos[s:e].astype(np.int32).tobytes() + b"".join(own)
+        blob = struct.pack("<ii", y - x, e - s) + np.array([len(t) for t in own], np.int32).tobytes() + count[x:y].astype(np.int32).tobytes() + doc[s:e].astype(np.int64).tobytes() + tie[s:e].astype(np.int64).tobytes() + pos[s:e].astype(np.int32).tobytes() + b"".join(own)
         out.append(z.compress(blob))
     return pa.RecordBatch.from_arrays([pa.array(bucket[group[cut]].astype(np.int32)), pa.array(out, pa.binary())], ["bucket", "blob"])
 
@@ -102,54 +102,55 @@ def _count(window: int):
             lens = np.frombuffer(x, np.int32, n, at)
             times = np.frombuffer(x, np.int32, n, at + 4 * n)
             doc = np.frombuffer(x, np.int64, occ, at + 8 * n)
-            pos = np.frombuffer(x, np.int32, occ, at + 8 * n + 8 * occ)
-            buf = np.frombuffer(x, np.uint8, offset=at + 8 * n + 12 * occ)
+            tie = np.frombuffer(x, np.int64, occ, at + 8 * n + 8 * occ)
+            pos = np.frombuffer(x, np.int32, occ, at + 8 * n + 16 * occ)
+            buf = np.frombuffer(x, np.uint8, offset=at + 8 * n + 20 * occ)
             w = W.split(buf, np.concatenate([[0], np.cumsum(lens, dtype=np.int64)]))
             h = w.hashes()
             nw = np.diff(w.first) - window + 1
             start = np.repeat(w.first[:-1], nw) + steps(nw)
-            parts.append((W.rolling(h, window)[start], W.rolling(h ^ np.uint64(0x5851F42D4C957F2D), window, 0xD1342543DE82EF95)[start], nw, times, doc, pos))
+            parts.append((W.rolling(h, window)[start], W.rolling(h ^ np.uint64(0x5851F42D4C957F2D), window, 0xD1342543DE82EF95)[start], nw, times, doc, tie, pos))
         # one entry for each window and place: windows of super-k-mer i, place j
         rows = []
-        for h1, h2, nw, times, doc, pos in parts:
+        for h1, h2, nw, times, doc, tie, pos in parts:
             sk = np.repeat(np.arange(len(nw)), times)  # super-k-mer of each place
             per = nw[sk]
             first = np.concatenate([[0], np.cumsum(nw)])[:-1]
             step = steps(per)
             i = np.repeat(first[sk], per) + step
-            rows.append((h1[i], h2[i], np.repeat(doc, per), np.repeat(pos.astype(np.int64), per) + step))
-        h1, h2, doc, pos = (np.concatenate([r[i] for r in rows]) for i in range(4))
-        return late_spans(h1, h2, doc, pos, window)
+            rows.append((h1[i], h2[i], np.repeat(doc, per), np.repeat(tie, per), np.repeat(pos.astype(np.int64), per) + step))
+        return late_spans(*(np.concatenate([r[i] for r in rows]) for i in range(5)), window)
 
     return count
 
 
-def late_spans(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, pos: np.ndarray, window: int) -> pa.Table:
+def late_spans(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, tie: np.ndarray, pos: np.ndarray, window: int) -> pa.Table:
     """Spans of adjacent windows that also occur earlier, from the hashes and places of windows."""
     order = np.argsort(h1)
     s = h1[order]
     same = np.zeros(len(s) + 1, bool)
     same[1:-1] = s[1:] == s[:-1]
     order = order[same[1:] | same[:-1]]  # windows that occur once are done
-    h1, h2, doc, pos = h1[order], h2[order], doc[order], pos[order]
-    order = np.lexsort((pos, doc, h2, h1))
-    h1, h2, doc, pos = h1[order], h2[order], doc[order], pos[order]
+    h1, h2, doc, tie, pos = (x[order] for x in (h1, h2, doc, tie, pos))
+    order = np.lexsort((pos, tie, doc, h2, h1))
+    h1, h2, doc, tie, pos = (x[order] for x in (h1, h2, doc, tie, pos))
     new = np.ones(len(order), bool)
     new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
     lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else np.zeros(0, np.int64)
-    late = (doc > doc[lead]) | (pos > pos[lead])
-    first_doc, first_pos = doc[lead][late], pos[lead][late]
-    doc, pos = doc[late], pos[late]
-    order = np.lexsort((pos, doc))
-    doc, pos, first_doc, first_pos = doc[order], pos[order], first_doc[order], first_pos[order]
+    late = (doc != doc[lead]) | (tie != tie[lead]) | (pos != pos[lead])
+    first_doc, first_tie, first_pos = doc[lead][late], tie[lead][late], pos[lead][late]
+    doc, tie, pos = doc[late], tie[late], pos[late]
+    order = np.lexsort((pos, tie, doc))
+    doc, tie, pos, first_doc, first_tie, first_pos = (x[order] for x in (doc, tie, pos, first_doc, first_tie, first_pos))
     # adjacent windows of one document that repeat adjacent windows are one span
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + 1) | (first_doc[1:] != first_doc[:-1]) | (first_pos[1:] - first_pos[:-1] != pos[1:] - pos[:-1])
+    new[1:] = (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (pos[1:] > pos[:-1] + 1) | (first_doc[1:] != first_doc[:-1]) | (first_tie[1:] != first_tie[:-1]) | (first_pos[1:] - first_pos[:-1] != pos[1:] - pos[:-1])
     a = np.flatnonzero(new)
     b = np.append(a[1:], len(doc)) - 1
     if not len(doc):
         a = b = np.zeros(0, np.int64)
-    return pa.table({"doc_id": pa.array(doc[a], pa.int64()), "start": pa.array(pos[a], pa.int64()), "stop": pa.array(pos[b] + window, pa.int64()), "first_doc_id": pa.array(first_doc[a], pa.int64()), "first_start": pa.array(first_pos[a], pa.int64())})
+    cols = {"doc_id": doc[a], "tie": tie[a], "start": pos[a], "stop": pos[b] + window, "first_doc_id": first_doc[a], "first_start": first_pos[a]}
+    return pa.table({k: pa.array(v, pa.int64()) for k, v in cols.items()})
 
 
 def steps(n: np.ndarray) -> np.ndarray:
@@ -158,18 +159,23 @@ def steps(n: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(n) - n, n)
 
 
+def _spans(rows: DataFrame, window: int, minimiser: int) -> DataFrame:
+    spark = rows.sparkSession
+    prepare(spark)
+    n = 8 * partitions(spark)
+    blobs = rows.mapInArrow(_pack(n, window, minimiser), "bucket int, blob binary")
+    return blobs.groupBy("bucket").applyInArrow(_count(window), "doc_id long, tie long, start long, stop long, first_doc_id long, first_start long")
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
     """Word spans [start, stop) whose windows all occur earlier: by smaller doc_id, or earlier in the same document.
 
     first_doc_id and first_start name the earliest place of the span's first window. Spans of one document may
-    overlap or touch. Rows that share a doc_id count as one document, so repeated rows are no copies of each
-    other; null ids share one id that comes first. Null, empty and short texts have no windows.
+    overlap or touch. Rows that share a doc_id and a text are one document, and no copies of each other; rows that
+    share a doc_id alone are documents in the order of a hash of their texts, and tie tells them apart. Null ids
+    are shared in this sense and come first. Null, empty and short texts have no windows.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    n = 8 * partitions(spark)
-    blobs = documents(docs).mapInArrow(_pack(n, window, minimiser), "bucket int, blob binary")
-    return blobs.groupBy("bucket").applyInArrow(_count(window), "doc_id long, start long, stop long, first_doc_id long, first_start long")
+    return _spans(keyed(docs), window, minimiser).select(public_id(), "tie", "start", "stop", public_id("first_doc_id"), "first_start")
 
 
 def _keep(texts: bool):
@@ -195,9 +201,12 @@ def _keep(texts: bool):
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, texts: bool = True) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept_text (kept words joined by a space; null unless texts), kept_sha256."""
-    spans = repeated_spans(docs, window, minimiser).groupBy("doc_id").agg(F.collect_list("start").alias("start"), F.collect_list("stop").alias("stop"))
-    both = documents(docs).join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "start", "stop")
+    """One row per input row: doc_id, n_words, n_removed, kept_text (kept words joined by a space; null unless texts), kept_sha256.
+
+    What is earlier, and which rows are one document, is said at repeated_spans(); repeated rows lose the same words."""
+    rows = keyed(docs)
+    spans = _spans(rows, window, minimiser).groupBy("doc_id", "tie").agg(F.collect_list("start").alias("start"), F.collect_list("stop").alias("stop"))
+    both = rows.join(spans.hint("shuffle_hash"), ["doc_id", "tie"], "left").select("doc_id", "text", "start", "stop")
     out = both.mapInArrow(_keep(texts), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
     return out.select(public_id(), "n_words", "n_removed", "kept_text", "kept_sha256")
 

@@ -24,12 +24,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import documents, partitions, prepare, public_id, table
+from .common import keyed, partitions, prepare, public_id, table
 from .substring_dedup import steps
 
 PASSAGE, ANCHOR = 50, 25
 FLUSH = 16 << 20
-SPANS = "doc_id long, start long, stop long, first_doc_id long, first_start long"
+SPANS = "doc_id long, tie long, start long, stop long, first_doc_id long, first_start long"
 
 
 def anchors(w: W.Words, h: np.ndarray, passage: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,27 +50,27 @@ def _find(n_bucket: int, passage: int, anchor: int):
     """Places of anchors by bucket of the anchor's hash, compressed."""
 
     def blobs(held) -> pa.RecordBatch:
-        g, doc, pos = (np.concatenate([x[k] for x in held]) for k in range(3))
+        g, doc, tie, pos = (np.concatenate([x[k] for x in held]) for k in range(4))
         bucket = (g % np.uint64(n_bucket)).astype(np.int64)
         order = np.lexsort((pos, doc, g, bucket))
-        bucket, g, doc, pos = bucket[order], g[order], doc[order], pos[order]
+        bucket, g, doc, tie, pos = (x[order] for x in (bucket, g, doc, tie, pos))
         cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         z = zstandard.ZstdCompressor(level=1)
-        out = [z.compress(struct.pack("<i", j - i) + g[i:j].tobytes() + doc[i:j].astype(np.int64).tobytes() + pos[i:j].astype(np.int32).tobytes()) for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(g)], strict=True)]
+        out = [z.compress(struct.pack("<i", j - i) + g[i:j].tobytes() + doc[i:j].astype(np.int64).tobytes() + tie[i:j].astype(np.int64).tobytes() + pos[i:j].astype(np.int32).tobytes()) for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(g)], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array(out, pa.binary())], ["bucket", "blob"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j in W.slices(batch.column(1)):
-                w = W.split(*W.raw(batch.column(1).slice(i, j - i)))
+            ids, ties = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for i, j in W.slices(batch.column(2)):
+                w = W.split(*W.raw(batch.column(2).slice(i, j - i)))
                 p, g = anchors(w, w.hashes(), passage, anchor)
                 if not len(p):
                     continue
                 doc = w.text_of()[p]
-                held.append((g, ids[i:j][doc], p - w.first[doc]))
-                size += 20 * len(p)
+                held.append((g, ids[i:j][doc], ties[i:j][doc], p - w.first[doc]))
+                size += 28 * len(p)
                 if size > FLUSH:
                     yield blobs(held)
                     held, size = [], 0
@@ -82,23 +82,24 @@ def _find(n_bucket: int, passage: int, anchor: int):
 
 def _repeated(t: pa.Table) -> pa.Table:
     """Places of the anchors that occur at two places at least, one row for each document."""
-    d, key, doc, pos = zstandard.ZstdDecompressor(), [], [], []
+    d, key, doc, tie, pos = zstandard.ZstdDecompressor(), [], [], [], []
     for blob in t.column("blob"):
         x = d.decompress(blob.as_py())
         (n,) = struct.unpack_from("<i", x)
         key.append(np.frombuffer(x, np.uint64, n, 4))
         doc.append(np.frombuffer(x, np.int64, n, 4 + 8 * n))
-        pos.append(np.frombuffer(x, np.int32, n, 4 + 16 * n))
-    key, doc, pos = map(np.concatenate, (key, doc, pos))
+        tie.append(np.frombuffer(x, np.int64, n, 4 + 16 * n))
+        pos.append(np.frombuffer(x, np.int32, n, 4 + 24 * n))
+    key, doc, tie, pos = map(np.concatenate, (key, doc, tie, pos))
     order = np.argsort(key, kind="stable")
     s = key[order]
     same = np.zeros(len(s) + 1, bool)
     same[1:-1] = s[1:] == s[:-1]
     order = order[same[1:] | same[:-1]]
-    order = order[np.lexsort((pos[order], doc[order]))]
-    doc, pos = doc[order], pos[order]
-    cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-    return pa.table({"doc_id": pa.array(doc[cut]), "pos": pa.ListArray.from_arrays(pa.array(np.append(cut, len(doc)).astype(np.int32)), pa.array(pos.astype(np.int64)))})
+    order = order[np.lexsort((pos[order], tie[order], doc[order]))]
+    doc, tie, pos = doc[order], tie[order], pos[order]
+    cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]))) if len(doc) else np.zeros(0, np.int64)
+    return pa.table({"doc_id": pa.array(doc[cut]), "tie": pa.array(tie[cut]), "pos": pa.ListArray.from_arrays(pa.array(np.append(cut, len(doc)).astype(np.int32)), pa.array(pos.astype(np.int64)))})
 
 
 def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +118,7 @@ def _context(n_bucket: int, passage: int, anchor: int):
     def blobs(held) -> pa.RecordBatch:
         key, ctx, before = (np.concatenate([x[k] for x in held]) for k in range(3))
         times, text = np.concatenate([x[3] for x in held]), [t for x in held for t in x[4]]
-        doc, pos = (np.concatenate([x[k] for x in held]) for k in (5, 6))
+        doc, tie, pos = (np.concatenate([x[k] for x in held]) for k in (5, 6, 7))
         at = np.cumsum(times) - times  # first place of each context
         bucket = (key % np.uint64(n_bucket)).astype(np.int64)
         order, lead = _runs(before, ctx, key, bucket)
@@ -132,13 +133,13 @@ def _context(n_bucket: int, passage: int, anchor: int):
             count = np.add.reduceat(times[part], lead[x:y] - lead[x])
             texts = [text[k] for k in own.tolist()]
             lens = np.array([len(s) for s in texts], np.int32)
-            out.append(z.compress(struct.pack("<ii", y - x, len(places)) + key[own].tobytes() + ctx[own].tobytes() + before[own].astype(np.int32).tobytes() + count.astype(np.int32).tobytes() + lens.tobytes() + doc[places].astype(np.int64).tobytes() + pos[places].astype(np.int32).tobytes() + b"".join(texts)))
+            out.append(z.compress(struct.pack("<ii", y - x, len(places)) + key[own].tobytes() + ctx[own].tobytes() + before[own].astype(np.int32).tobytes() + count.astype(np.int32).tobytes() + lens.tobytes() + doc[places].astype(np.int64).tobytes() + tie[places].astype(np.int64).tobytes() + pos[places].astype(np.int32).tobytes() + b"".join(texts)))
         return pa.RecordBatch.from_arrays([pa.array(of[cut].astype(np.int32)), pa.array(out, pa.binary())], ["bucket", "blob"])
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, ties = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "tie"))
             text, pos = batch.column("text"), batch.column("pos")
             for i, j in W.slices(text):
                 w = W.split(*W.raw(text.slice(i, j - i)))
@@ -146,8 +147,6 @@ def _context(n_bucket: int, passage: int, anchor: int):
                 off = own.offsets.to_numpy() - own.offsets[0].as_py()
                 doc = np.repeat(np.arange(j - i), np.diff(off))
                 p = own.flatten().to_numpy() + w.first[doc]
-                ok = p + anchor <= w.first[doc + 1]  # rows that share an id but not a text
-                p, doc = p[ok], doc[ok]
                 if not len(p):
                     continue
                 h = w.hashes()
@@ -158,8 +157,8 @@ def _context(n_bucket: int, passage: int, anchor: int):
                 ctx = W.mix((cum[b] - cum[a]) * W.powers(qi, len(h) + 1)[a] + (b - a).astype(np.uint64))
                 order, lead = _runs(p - a, ctx, g)
                 k, data = order[lead], memoryview(w.buf.tobytes())
-                held.append((g[k], ctx[k], (p - a)[k], np.diff(np.append(lead, len(order))), [bytes(data[s:e]) for s, e in zip(w.start[a[k]].tolist(), w.end[b[k] - 1].tolist(), strict=True)], ids[i:j][doc][order], (p - w.first[doc])[order]))
-                size += sum(map(len, held[-1][4])) + 12 * len(order)
+                held.append((g[k], ctx[k], (p - a)[k], np.diff(np.append(lead, len(order))), [bytes(data[s:e]) for s, e in zip(w.start[a[k]].tolist(), w.end[b[k] - 1].tolist(), strict=True)], ids[i:j][doc][order], ties[i:j][doc][order], (p - w.first[doc])[order]))
+                size += sum(map(len, held[-1][4])) + 20 * len(order)
                 if size > FLUSH:
                     yield blobs(held)
                     held, size = [], 0
@@ -175,26 +174,31 @@ def _sort(passage: int, anchor: int):
     def read(t: pa.Table):
         """Distinct contexts (key, words before the anchor, text) and the places of each, the earliest first."""
         d = zstandard.ZstdDecompressor()
-        cols, text = [[] for _ in range(6)], []
+        cols, text = [[] for _ in range(7)], []
         for blob in t.column("blob"):
             x = d.decompress(blob.as_py())
             n, occ = struct.unpack_from("<ii", x)
             lens, at = np.frombuffer(x, np.int32, n, 8 + 24 * n), 8 + 28 * n
-            for col, part in zip(cols, (np.frombuffer(x, np.uint64, n, 8), np.frombuffer(x, np.uint64, n, 8 + 8 * n), np.frombuffer(x, np.int32, n, 8 + 16 * n), np.frombuffer(x, np.int32, n, 8 + 20 * n), np.frombuffer(x, np.int64, occ, at), np.frombuffer(x, np.int32, occ, at + 8 * occ)), strict=True):
+            for col, part in zip(cols, (np.frombuffer(x, np.uint64, n, 8), np.frombuffer(x, np.uint64, n, 8 + 8 * n), np.frombuffer(x, np.int32, n, 8 + 16 * n), np.frombuffer(x, np.int32, n, 8 + 20 * n), np.frombuffer(x, np.int64, occ, at), np.frombuffer(x, np.int64, occ, at + 8 * occ), np.frombuffer(x, np.int32, occ, at + 16 * occ)), strict=True):
                 col.append(part)
-            end = at + 12 * occ + np.cumsum(lens)
+            end = at + 20 * occ + np.cumsum(lens)
             text += [x[s:e] for s, e in zip((end - lens).tolist(), end.tolist(), strict=True)]
-        key, ctx, before, times, doc, pos = map(np.concatenate, cols)
+        key, ctx, before, times, doc, tie, pos = map(np.concatenate, cols)
         order, lead = _runs(before, ctx, key)
         kind = np.empty(len(order), np.int64)
         kind[order] = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(order))))
         k = order[lead]
         kind = np.repeat(kind, times)
-        o = np.lexsort((pos, doc, kind))
-        return key[k], before[k].astype(np.int64), [text[i] for i in k.tolist()], kind[o], doc[o], pos[o].astype(np.int64)
+        o = np.lexsort((pos, tie, doc, kind))
+        return key[k], before[k].astype(np.int64), [text[i] for i in k.tolist()], kind[o], doc[o], tie[o], pos[o].astype(np.int64)
 
     def compare(t: pa.Table) -> pa.Table:
-        key, before, texts, kind, doc, pos = read(t)
+        key, before, texts, kind, id_, tie, pos = read(t)
+        # documents by number, in their order
+        place, lead = _runs(tie, id_)
+        doc = np.empty(len(place), np.int64)
+        doc[place] = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(place))))
+        id_, tie = id_[place[lead]], tie[place[lead]]
         n = len(key)
         # words around each anchor, the anchor's first in column `left`; absent words equal nothing
         m = np.arange(n * width, dtype=np.uint64).reshape(n, width)
@@ -242,17 +246,16 @@ def _sort(passage: int, anchor: int):
         x = np.flatnonzero(later & (hi >= lo)[kind])
         y, k = lead[o][head[kind[x]]] if len(x) else np.zeros(0, np.int64), kind[x]
         spans.append((doc[x], pos[x] - left + lo[k], pos[x] - left + hi[k] + passage, wd[y], wp[y]))
-        return _islands(*map(np.concatenate, zip(*spans, strict=True)))
+        return _islands(id_, tie, *map(np.concatenate, zip(*spans, strict=True)))
 
     return compare
 
 
-def _islands(doc, start, stop, first_doc, first_pos) -> pa.Table:
-    """Spans of one document that overlap or touch as one span, with the least of their first places."""
+def _islands(id_, tie, doc, start, stop, first_doc, first_pos) -> pa.Table:
+    """Spans of one document that overlap or touch as one span, with the least of their first places. doc: numbers into id_ and tie."""
     order = np.lexsort((start, doc))
     doc, start, stop, first_doc, first_pos = (x[order] for x in (doc, start, stop, first_doc, first_pos))
-    _, of = np.unique(doc, return_inverse=True)
-    reach = of * (1 << 40)  # documents apart, so that one running maximum serves all
+    reach = doc * (1 << 40)  # documents apart, so that one running maximum serves all
     far = np.maximum.accumulate(stop + reach) if len(doc) else stop
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | ((start + reach)[1:] > far[:-1])
@@ -261,7 +264,7 @@ def _islands(doc, start, stop, first_doc, first_pos) -> pa.Table:
     island = np.cumsum(new) - 1
     o = np.lexsort((first_pos, first_doc, island))
     low = o[a]
-    cols = {"doc_id": doc[a], "start": start[a], "stop": far[last] - reach[last], "first_doc_id": first_doc[low], "first_start": first_pos[low]}
+    cols = {"doc_id": id_[doc[a]], "tie": tie[doc[a]], "start": start[a], "stop": far[last] - reach[last], "first_doc_id": id_[first_doc[low]], "first_start": first_pos[low]}
     return pa.table({k: pa.array(v.astype(np.int64)) for k, v in cols.items()})
 
 
@@ -269,24 +272,25 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, anchor: int = ANC
     """Maximal word spans [start, stop) of each document whose every passage of `passage` words occurs earlier: by
     smaller doc_id, or earlier in the same document. first_doc_id, first_start: the earliest place of one of them.
 
-    Null, empty and short texts have none. Rows that share a doc_id count as one document: repeated rows are no
-    copies of each other. Null ids share one id that comes first. Words are compared by 64-bit hashes, passages by two.
+    Null, empty and short texts have none. Rows that share a doc_id and a text are one document, and no copies of each
+    other; rows that share a doc_id alone are documents in the order of a hash of their texts, and tie tells them apart.
+    Null ids are shared in this sense and come first. Words are compared by 64-bit hashes, passages by two.
     """
     spark = docs.sparkSession
     prepare(spark)
-    rows = documents(docs)
+    rows = keyed(docs)
     n = 8 * partitions(spark)
     found = rows.mapInArrow(_find(n, passage, anchor), "bucket int, blob binary")
-    again = found.groupBy("bucket").applyInArrow(_repeated, "doc_id long, pos array<long>")
-    again = again.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("pos"))).alias("pos"))
-    near = rows.join(again.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "pos").mapInArrow(_context(n, passage, anchor), "bucket int, blob binary")
+    again = found.groupBy("bucket").applyInArrow(_repeated, "doc_id long, tie long, pos array<long>")
+    again = again.groupBy("doc_id", "tie").agg(F.array_distinct(F.flatten(F.collect_list("pos"))).alias("pos"))
+    near = rows.join(again.hint("shuffle_hash"), ["doc_id", "tie"]).select("doc_id", "tie", "text", "pos").mapInArrow(_context(n, passage, anchor), "bucket int, blob binary")
     spans = near.groupBy("bucket").applyInArrow(_sort(passage, anchor), SPANS)
-    order = Window.partitionBy("doc_id").orderBy("start", "stop")
+    order = Window.partitionBy("doc_id", "tie").orderBy("start", "stop")
     island = spans.withColumn("new", F.coalesce(F.col("start") > F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
     island = island.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = island.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min(F.struct("first_doc_id", "first_start")).alias("first"))
-    return out.select(public_id(), "start", "stop", F.expr(f"nullif(first.first_doc_id, {-(1 << 63) + 1} - 1)").alias("first_doc_id"), F.col("first.first_start").alias("first_start"))
+    out = island.groupBy("doc_id", "tie", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min(F.struct("first_doc_id", "first_start")).alias("first"))
+    return out.select(public_id(), "tie", "start", "stop", F.expr(f"nullif(first.first_doc_id, {-(1 << 63) + 1} - 1)").alias("first_doc_id"), F.col("first.first_start").alias("first_start"))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("tie")

@@ -90,6 +90,25 @@ def test_suffix_dedup(docs, texts, odd):
     assert suffix_dedup.repeated_passages(odd).count() > 0 and suffix_dedup.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    """Rows with one id or none and different texts: what one repeats is not cut from another."""
+    r = random.Random(8)
+    make = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    a, b, c = make(60), make(70), make(60)
+    rows = [(0, a), (1, a), (1, b), (1, b), (None, c), (None, make(55)), (2, c), (3, f"{make(9)}\n{b}\n{make(9)}"), (4, make(30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    gone = {(0, a): 0, (1, a): 60, (1, b): 0, (2, c): 60, (3, rows[7][1]): 70}
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    want = sorted(((d, hashlib.sha256((t if not gone.get((d, t)) else "" if gone[d, t] == len(t.split()) else " ".join(rows[7][1].split()[:9] + rows[7][1].split()[79:])).encode() if gone.get((d, t)) else " ".join(t.split()).encode()).hexdigest()) for d, t in rows), key=order)
+    got = sorted(((x.doc_id, x.kept_sha256) for x in substring_dedup.remove_repeats(df).collect()), key=order)
+    assert got == want
+    spans = {(x.doc_id, x.start, x.stop, x.first_doc_id) for x in suffix_dedup.repeated_passages(df).collect()}
+    assert spans == {(1, 0, 60, 0), (2, 0, 60, None), (3, 9, 79, 1)}
+    left = sorted(((x.doc_id, x.text) for x in line_dedup.without_lines(df, **line_dedup.EVERY).collect()), key=order)
+    cut = {(1, a): "", (2, c): "", (3, rows[7][1]): "\n".join(rows[7][1].split("\n")[::2])}
+    assert left == sorted(((d, cut.get((d, t), t)) for d, t in rows), key=order)
+
+
 def test_line_dedup(docs, texts, odd):
     lines = [(d, i, tuple(low(t))) for d in sorted(texts) for i, t in enumerate((texts[d] or "").split("\n"))]
     first, want = {}, {}
