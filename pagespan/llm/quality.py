@@ -82,13 +82,20 @@ class QualityModel:
     vectors: np.ndarray
     labels: np.ndarray
     neighbours: int
+    weights: tuple[float, float] = (1.0, 1.0)  # of a vote for label 0 and for label 1: share among all labels over share here
+
+    @property
+    def mean(self) -> float:
+        """Share of label 1 among all labels."""
+        w = np.where(self.labels == 1, self.weights[1], self.weights[0])
+        return float((w * self.labels).sum() / w.sum()) if len(self.labels) else 0.5
 
     def embed(self, x: np.ndarray) -> np.ndarray:
         return _normal(weighted(x, self.idf) @ self.basis)
 
     def score(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Weighted share of label 1 among the nearest labelled vectors; texts without features get the labels' mean."""
-        out = np.full(len(off) - 1, float(self.labels.mean()) if len(self.labels) else 0.5)
+        out = np.full(len(off) - 1, self.mean)
         for i in range(0, len(out), _BLOCK):
             o = off[i : i + _BLOCK + 1]
             v = self.embed(counts(buf[o[0] : o[-1]], o - o[0]))
@@ -96,10 +103,11 @@ class QualityModel:
                 continue
             sim = v @ self.vectors.T
             k = min(self.neighbours, sim.shape[1])
-            near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-            near.sort(axis=1)
-            weight = np.exp(8 * (np.take_along_axis(sim, near, 1).astype(np.float64) - 1))
-            vote = (weight * self.labels[near]).sum(1) / weight.sum(1)
+            # all that are as near as the k-th vote, so ties don't hang on an order
+            bound = np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k][:, None]
+            row, near = np.nonzero(sim >= bound)
+            weight = np.exp(8 * (sim[row, near].astype(np.float64) - 1)) * np.where(self.labels[near] == 1, self.weights[1], self.weights[0])
+            vote = np.bincount(row, weight * self.labels[near], len(sim)) / np.bincount(row, weight, len(sim))
             real = np.abs(v).sum(1) > 0
             out[i : i + len(o) - 1][real] = vote[real]
         return np.clip(out, 0, 1)
@@ -114,7 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RA
     """Model from at most `sample` labelled documents: half from each label, so that the rarer label is heard.
 
     Features of the sample are made on the executors; the driver gets sparse counts of bounded number and finds the
-    latent space by randomised subspace iteration. Votes are weighted back to the labels' shares.
+    latent space by randomised subspace iteration. Votes are weighted back to the shares that the labels have among all
+    labelled rows, so scores don't drift as the table outgrows the sample.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("label"))
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
@@ -122,6 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RA
     for label in (0, 1):
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
         pick = part if pick is None else pick.union(part)
+    every = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     chosen = documents(docs).join(F.broadcast(pick), "doc_id")  # at most `sample` rows of two numbers
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,18 +153,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RA
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0)) + 1).astype(np.float32)
     if not len(x):
         return QualityModel(idf, np.zeros((_DIM, 1), np.float32), np.zeros((0, 1), np.float32), y, neighbours)
+    share = lambda k: every.get(k, 0) / max(sum(every.values()), 1) / max(float((y == k).mean()), 1e-9)
     x = weighted(x, idf)
     q = np.random.default_rng(seed).standard_normal((_DIM, min(rank + 16, *x.shape)), np.float32)
     for _ in range(4):
         q = np.linalg.qr(x.T @ (x @ q))[0]
     u, s, _ = np.linalg.svd((x @ q).T @ (x @ q))
     basis = (q @ u[:, :rank]).astype(np.float32)
-    return QualityModel(idf, basis, _normal(x @ basis), y, neighbours)
+    return QualityModel(idf, basis, _normal(x @ basis), y, neighbours, (share(0), share(1)))
 
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """doc_id, score (0 to 1, higher: label 1 likelier), for each row. Null and empty texts get the labels' mean;
-    equal texts get equal scores. Only text is an input of the score."""
+    """doc_id, score (0 to 1, higher: label 1 likelier), for each row. Null and empty texts get the labels' mean.
+    Of neighbours that tie for the last place all vote, so equal texts get equal scores up to rounding. Only text is an input of the score."""
     prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few MB at most: SAMPLE vectors of RANK numbers, and the basis
 
