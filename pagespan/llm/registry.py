@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import sql
 from .decontamination import op7_decontamination
 from .fingerprints import op6_fingerprints
 from .jaccard_join import op9_jaccard_join
@@ -30,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_suffix_dedup": sql.OP1, "op3_secrets": sql.OP3, "op4_substring_dedup": sql.OP4, "op9_jaccard_join": sql.OP9}

@@ -461,3 +461,30 @@ def test_quality(spark, docs):
     assert quality.score_quality(docs, model).count() == docs.count() and quality.accepted(docs, model).columns == docs.columns
     none = quality.fit(df, labels.limit(0))
     assert {s.score for s in quality.score_quality(docs, none).collect()} == {0.5}
+
+
+def test_quality_votes_by_the_labels_shares():
+    """A balanced sample of labels that are not balanced: votes count by the shares among all labels, and ties all vote."""
+    r = np.random.default_rng(1)
+    texts = [("aa bb " * 20).strip()] * 8
+    buf, off = packing.W.raw(pa.array(texts))
+    x = quality.counts(buf, off)
+    idf, basis = np.ones(x.shape[1], np.float32), r.standard_normal((x.shape[1], 4)).astype(np.float32)
+    model = quality.QualityModel(idf, basis, np.zeros((0, 4), np.float32), np.zeros(0), 3)
+    model.vectors, model.labels = model.embed(x), np.array([0.0, 1] * 4)
+    assert model.score(buf, off) == pytest.approx([0.5] * 8)
+    model.weights = (0.2 / 0.5, 0.8 / 0.5)  # one label in five is 0
+    assert model.score(buf, off) == pytest.approx([0.8] * 8) and model.mean == pytest.approx(0.8)
+
+
+def test_secrets_in_a_text_with_many_matches(spark):
+    n = 20_000
+    df = spark.createDataFrame([(1, "token=abcdef " * n, "o")], "doc_id long, text string, o string")
+    (out,) = secrets.scan(df, F.col("o"), F.col("o")).collect()
+    assert out.n_assign == n and out.spans.endswith(f"assign:{13 * (n - 1)}:{13 * n - 1}") and out.base == out.spans
+
+
+def test_a_value_all_over_one_owners_repositories_is_a_copy(spark):
+    rows = [(i, "Zk3aB9fQ2mX7pL5tR8wY", "o", f"r{i}") for i in range(3)] + [(9, "Qk3aB9fQ2mX7pL5tR8wZ", "o", "r1")]
+    out = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, o string, r string"), F.col("o"), F.col("r")).collect()}
+    assert out == {0: "", 1: "", 2: "", 9: "mixed:0:20"}
