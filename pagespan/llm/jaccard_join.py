@@ -28,8 +28,10 @@ from .common import documents, durable, partitions, prepare, public_id, table
 from .components import components, local_components
 
 SHINGLE, NUM, DEN = 5, 75, 100
-#: Shingles of one group of sets that a task joins at once; larger groups are dealt out in pairs of blocks.
-BLOCK = 12_000_000
+#: Shingles, and sets, of one group that a task joins at once; larger groups are dealt out in pairs of blocks.
+BLOCK, BLOCK_SETS = 12_000_000, 100_000
+#: Orders in which neighbours are compared before the tree is walked.
+ORDERS = 8
 CHUNK = 8 << 20
 _KEY_BITS = 24  # of a shingle's hash within its bucket; collisions only move a shingle in the order
 
@@ -270,9 +272,9 @@ def join_sets(sets: list[np.ndarray], left: int | None = None) -> list[tuple[int
     first_post = np.cumsum(n_post) - n_post
     first_own = np.cumsum(tree.size) - tree.size
     flat = owner * len(value) + held
-    label = np.arange(len(sets))
     side = None if left is None else np.array([i < left for i in tree.order])
-    links = []
+    label, found = _neighbours(held, first_own, tree.size, flat, len(value), side)
+    links = [(tree.order[i], tree.order[j]) for i, j in found]
     stack = [(tree.root, np.arange(len(sets)), np.zeros(len(sets), np.int64))]
     while stack:
         v, x, got = stack.pop()
@@ -288,7 +290,11 @@ def join_sets(sets: list[np.ndarray], left: int | None = None) -> list[tuple[int
         if not len(x):
             continue
         run = tree.sets[lo][above:depth]
-        if len(run):
+        if len(run) * len(x) < len(sets):  # few sets are left: their shingles are looked up instead
+            want = (x[:, None] * len(value) + run.astype(np.int64)).ravel()
+            at = np.minimum(np.searchsorted(flat, want), len(flat) - 1)
+            got = got + (flat[at] == want).reshape(len(x), -1).sum(1)
+        else:
             many = n_post[run]
             at = np.repeat(first_post[run] - (np.cumsum(many) - many), many) + np.arange(many.sum())
             got = got + np.bincount(post[at], minlength=len(sets))[x]
@@ -306,6 +312,42 @@ def join_sets(sets: list[np.ndarray], left: int | None = None) -> list[tuple[int
     return links
 
 
+def _neighbours(held, first, size, flat, n_values, side):
+    """Labels of sets that links join, and those links: of neighbours in the tree's order, and by the least hash of their
+    shingles under some hash functions. Such links are compared exactly like others. They are most links of a group of near
+    copies, which the walk then need not compare pair by pair."""
+    n = len(size)
+    label, links = np.arange(n), []
+    for turn in range(ORDERS):
+        if turn:
+            low = np.minimum.reduceat(W.mix(held.astype(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15 * turn & (1 << 64) - 1)), first)
+            order = np.lexsort((size, low))
+        else:
+            order = np.arange(n)
+        i, j = order[:-1], order[1:]
+        use = (label[i] != label[j]) & (DEN * np.minimum(size[i], size[j]) >= NUM * np.maximum(size[i], size[j]))
+        if turn:
+            use &= low[i] == low[j]
+        if side is not None:
+            use &= side[i] != side[j]
+        i, j = i[use], j[use]
+        if not len(i):
+            continue
+        row = np.repeat(np.arange(len(i)), size[j])
+        at = np.repeat(first[j] - (np.cumsum(size[j]) - size[j]), size[j]) + np.arange(len(row))
+        want = i[row] * n_values + held[at]
+        hit = flat[np.minimum(np.searchsorted(flat, want), len(flat) - 1)] == want
+        common = np.bincount(row[hit], minlength=len(i))
+        ok = DEN * common >= NUM * (size[i] + size[j] - common)
+        i, j = i[ok], j[ok]
+        links.extend(zip(i.tolist(), j.tolist(), strict=True))
+        to = np.arange(n)
+        node, least = local_components(label[i], label[j])
+        to[node] = least
+        label = to[label]
+    return label, links
+
+
 def _link(t: pa.Table) -> pa.Table:
     x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
     key, block = t.column("k1").to_numpy(), t.column("block").to_numpy()
@@ -340,7 +382,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     met = posted.where("n is null").select("bucket", "blob").groupBy("bucket").applyInArrow(_meet, "a long, b long")
     groups = components(met).select(F.col("node").alias("k1"), F.col("component").alias("group"))
     members = durable(posted.where("items is not null").select("k1", "n").distinct().join(groups, "k1"))
-    weight = members.groupBy("group").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    weight = members.groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK)), F.ceil(F.count("*") / F.lit(BLOCK_SETS))).cast("int").alias("blocks"))
     placed = members.join(weight, "group").select("group", "k1", "blocks", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int").alias("block"))
     sets = posted.where("items is not null").select("k1", "items").join(placed, "k1")
     # a set of a group of many blocks goes to every pair of blocks that its own is in

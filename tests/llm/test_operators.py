@@ -488,3 +488,19 @@ def test_a_value_all_over_one_owners_repositories_is_a_copy(spark):
     rows = [(i, "Zk3aB9fQ2mX7pL5tR8wY", "o", f"r{i}") for i in range(3)] + [(9, "Qk3aB9fQ2mX7pL5tR8wZ", "o", "r1")]
     out = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, o string, r string"), F.col("o"), F.col("r")).collect()}
     assert out == {0: "", 1: "", 2: "", 9: "mixed:0:20"}
+
+
+def test_many_near_sets_join_in_linear_time():
+    """One group of near copies: neighbours in a few orders link them, so the walk has no pairs left to compare."""
+    import time
+
+    r = np.random.default_rng(2)
+    base = r.integers(0, 1 << 60, 20).astype(np.uint64)
+    sets = []
+    for i in range(12_000):
+        s = base.copy()
+        s[i % 20] = 1 << 61 | i
+        sets.append(np.unique(s))
+    began = time.process_time()
+    links = jaccard_join.join_sets(sets)
+    assert time.process_time() - began < 20 and len(links) == 11_999
