@@ -79,9 +79,13 @@ def sensitive_key(c: Column) -> Column:
     return k.isin(SENSITIVE_KEYS) | k.rlike("|".join(SENSITIVE_PARTS))
 
 
+_TOKEN = r"[\w!#$%&'*+.^`|~-]+"
+
+
 def html_content_type(c: Column) -> Column:
-    """Whether the media type is HTML, by its name alone."""
-    return F.lower(trim(F.split_part(c, F.lit(";"), F.lit(1)))).isin("text/html", "application/xhtml+xml")
+    """Whether a Content-Type header is well formed and names HTML, as html.content_type_is_html() says."""
+    named = F.lower(trim(F.split_part(c, F.lit(";"), F.lit(1)))).isin("text/html", "application/xhtml+xml")
+    return named & c.rlike(rf'^[^;]*(;\s*({_TOKEN}\s*=\s*({_TOKEN}|"[^";]*")\s*)?)*$')
 
 
 # HTTP statuses, and SQL states for reads and writes, that may be tried again.
@@ -112,8 +116,17 @@ def retry_after(value: Column, now: Column, most_seconds: int = 300) -> Column:
     """When a Retry-After header allows the next request: seconds or an HTTP date, no later than most_seconds; else null."""
     v = trim(value)
     seconds = F.when(v.rlike(r"^\+?[0-9]+$"), F.coalesce(v.try_cast("bigint"), F.lit(most_seconds).cast("bigint")))
-    parts = F.regexp_extract(v, r"^[A-Za-z]+, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1)
-    date = F.try_to_timestamp(F.nullif(parts, F.lit("")), F.lit("dd MMM yyyy HH:mm:ss"))
+    clock = r"\d{2}:\d{2}:\d{2}"
+    part = lambda p, i: F.regexp_extract(v, p, i)
+    # the three forms of an HTTP date: of today, with a year of two digits, and as C writes it
+    now_form, old_form, c_form = rf"^[A-Za-z]{{3}}, (\d{{2}} [A-Za-z]{{3}} \d{{4}} {clock}) GMT$", rf"^[A-Za-z]{{6,9}}, (\d{{2}}-[A-Za-z]{{3}}-)(\d{{2}})( {clock}) GMT$", rf"^[A-Za-z]{{3}} ([A-Za-z]{{3}}) ([ \d]\d) ({clock}) (\d{{4}})$"
+    century = F.when(part(old_form, 2) >= "69", "19").otherwise("20")
+    text = (
+        F.when(v.rlike(now_form), part(now_form, 1))
+        .when(v.rlike(old_form), F.concat(F.replace(part(old_form, 1), F.lit("-"), F.lit(" ")), century, part(old_form, 2), part(old_form, 3)))
+        .when(v.rlike(c_form), F.concat_ws(" ", F.lpad(F.ltrim(part(c_form, 2)), 2, "0"), part(c_form, 1), part(c_form, 4), part(c_form, 3)))
+    )
+    date = F.try_to_timestamp(text, F.lit("dd MMM yyyy HH:mm:ss"))
     delay = F.coalesce(seconds, F.when(date.isNotNull(), F.greatest(F.lit(0), F.unix_seconds(date) - F.unix_seconds(now.cast("timestamp")))))
     return F.when(delay.isNotNull(), after(now, F.least(delay, F.lit(most_seconds))))
 

@@ -1,4 +1,4 @@
-"""robots.txt rules: one parse per policy, path matching by compiled expressions."""
+"""robots.txt rules: one parse per policy, path matching piece by piece between stars, in linear steps."""
 
 from __future__ import annotations
 
@@ -34,8 +34,25 @@ class Rule:
     specificity: int
     anchored: bool
 
-    def regex(self) -> str:
-        return ".*".join(map(re.escape, self.pattern.split("*"))) + ("" if self.anchored else ".*")
+    @property
+    def pieces(self) -> list[str]:
+        """What stands between the stars."""
+        return self.pattern.split("*")
+
+    def matches(self, path: str) -> bool:
+        """Each piece is taken where it first fits after the one before, which leaves the most for the rest."""
+        first, *rest = self.pieces
+        if not rest:
+            return path == first if self.anchored else path.startswith(first)
+        if not path.startswith(first):
+            return False
+        last, at = rest.pop() if self.anchored else "", len(first)
+        for piece in rest:
+            found = path.find(piece, at)
+            if found < 0:
+                return False
+            at = found + len(piece)
+        return len(path) - len(last) >= at and path.endswith(last)
 
 
 def specificity(pattern: str) -> int:
@@ -84,13 +101,13 @@ def request_path(u: Url) -> str:
 class Policy:
     def __init__(self, rules: list[Rule]) -> None:
         # the deciding rule comes first: most specific, then allowing
-        self.rules = [(r.allow, re.compile(r.regex(), re.S)) for r in sorted(rules, key=lambda r: (-r.specificity, not r.allow))]
+        self.rules = sorted(rules, key=lambda r: (-r.specificity, not r.allow))
 
     def allows(self, path: str) -> bool:
         path = octets(path)
         if path.partition("?")[0] == "/robots.txt":
             return True
-        return next((allow for allow, p in self.rules if p.fullmatch(path)), True)
+        return next((r.allow for r in self.rules if r.matches(path)), True)
 
 
 def path_allowed(content: str, user_agent: str, path: str) -> bool:

@@ -29,13 +29,29 @@ def robots_key(url: str) -> str | None:
         return None
 
 
+def rule_matches(rule: Column, path: Column) -> Column:
+    """robots.Rule.matches() of struct(pieces, anchored): the fold holds the place behind the last piece, or 0."""
+    pieces, last = rule["pieces"], F.element_at(rule["pieces"], -1)
+    first, n = F.get(pieces, F.lit(0)), F.size(pieces)
+    middle = F.slice(pieces, F.lit(2), F.when(n == 1, 0).when(rule["anchored"], n - 2).otherwise(n - 1))
+
+    def step(at: Column, piece: Column) -> Column:
+        found = F.call_function("locate", piece, path, at)
+        return F.when((at == 0) | (piece == ""), at).when(found == 0, 0).otherwise(found + F.length(piece))
+
+    behind = F.aggregate(middle, F.length(first) + 1, step)
+    end = F.when(rule["anchored"], path.endswith(last) & (F.length(path) - F.length(last) + 1 >= behind)).otherwise(True)
+    return F.when(n == 1, F.when(rule["anchored"], path == first).otherwise(path.startswith(first))).otherwise(path.startswith(first) & (behind > 0) & end)
+
+
 def robots_verdicts(targets: DataFrame, policies: DataFrame, user_agent: str) -> DataFrame:
-    """targets with robots_outcome (allowed, disallowed, unavailable). targets: request_url; policies: authority, status, body.
+    """targets with robots_outcome (allowed, disallowed, unavailable). targets: request_url; policies: authority, status,
+    body, and fetched_at where an authority has several: the latest counts, of those that tie the greatest status and body.
 
     Policies are parsed once for each authority and joined as rule lists; Spark broadcasts them if they are small.
     An authority without a policy row is unavailable.
     """
-    rule = "array<struct<allow: boolean, pattern: string, anchored: boolean>>"
+    rule = "array<struct<allow: boolean, pieces: array<string>, anchored: boolean>>"
 
     @F.arrow_udf(rule)
     def compiled(body: pa.Array) -> pa.Array:
@@ -43,10 +59,10 @@ def robots_verdicts(targets: DataFrame, policies: DataFrame, user_agent: str) ->
         for b in body.to_pylist():
             try:
                 found = sorted(robots.rules_for(b or "", user_agent), key=lambda r: (-r.specificity, not r.allow))
-                out.append([{"allow": r.allow, "pattern": r.regex(), "anchored": r.anchored} for r in found])
+                out.append([{"allow": r.allow, "pieces": r.pieces, "anchored": r.anchored} for r in found])
             except robots.PolicyError:
                 out.append(None)
-        return pa.array(out, pa.list_(pa.struct([("allow", pa.bool_()), ("pattern", pa.string()), ("anchored", pa.bool_())])))
+        return pa.array(out, pa.list_(pa.struct([("allow", pa.bool_()), ("pieces", pa.list_(pa.string())), ("anchored", pa.bool_())])))
 
     @F.arrow_udf("struct<authority: string, path: string>")
     def located(url: pa.Array) -> pa.Array:
@@ -58,10 +74,12 @@ def robots_verdicts(targets: DataFrame, policies: DataFrame, user_agent: str) ->
 
     s = F.col("status")
     state = F.when((s >= 200) & (s < 300), "parse").when((s >= 400) & (s < 500), "allow_all").otherwise("unavailable")
-    one = policies.dropDuplicates(["authority"]).select("authority", state.alias("_state"), F.when(state == "parse", compiled("body")).alias("_rules"))
+    age = ["fetched_at"] if "fetched_at" in policies.columns else []
+    latest = policies.groupBy("authority").agg(F.max(F.struct(*age, "status", "body")).alias("x")).select("authority", "x.status", "x.body")
+    one = latest.select("authority", state.alias("_state"), F.when(state == "parse", compiled("body")).alias("_rules"))
     at = targets.withColumn("_at", located("request_url"))
     both = at.join(one, at["_at.authority"] == one["authority"], "left")
-    decide = F.filter(F.col("_rules"), lambda r: F.regexp_like(F.col("_at.path"), F.concat(F.lit("(?s)^(?:"), r["pattern"], F.lit(r")\z"))))
+    decide = F.filter(F.col("_rules"), lambda r: rule_matches(r, F.col("_at.path")))
     free = F.split_part(F.col("_at.path"), F.lit("?"), F.lit(1)) == "/robots.txt"
     verdict = (
         F.when(F.col("_state").isNull() | (F.col("_state") == "unavailable"), "unavailable")

@@ -74,15 +74,6 @@ TARGETS = f"""(SELECT 'run-' || (page_id % 4) AS run_id, page_id AS target_id, C
  CASE WHEN {_SQL_TARGET} = 'running' THEN 'w' || (page_id % 3) END AS claimed_by, CASE WHEN {_SQL_TARGET} = 'running' THEN CAST(page_id % 4 + 1 AS INTEGER) END AS claim_generation,
  CASE WHEN {_SQL_TARGET} = 'running' THEN {_SQL_NOW} + to_seconds(CAST((page_id % 5 - 2) * 60 AS INTEGER)) END AS lease_until, CASE WHEN {_SQL_TARGET} IN ('completed','failed','canceled') THEN {_SQL_NOW} END AS finished_at, CASE WHEN page_id % 6 = 0 THEN 'old' ELSE '' END AS last_error, CAST(page_id % 3 AS INTEGER) AS attempts FROM pages)"""
 
-_TITLE = r"(?s)<title>(.*?)</title>"
-
-
-def _unescaped(c):
-    for a, b in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
-
-
 _SQL_TITLE = "replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 _SQL_STATUS = "CASE WHEN length(t) = 0 THEN 'Missing' WHEN length(t) < 40 THEN 'Too Short' WHEN length(t) > 65 THEN 'Too Long' ELSE 'OK' END"
 
@@ -100,9 +91,9 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"WITH p AS (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, {_SQL_TITLE} AS t FROM pages) SELECT host, count(*) AS pages, count(*) FILTER (WHERE {_SQL_STATUS} = 'OK') AS ok, count(*) FILTER (WHERE {_SQL_STATUS} = 'Too Short') AS too_short, count(*) FILTER (WHERE {_SQL_STATUS} = 'Too Long') AS too_long, count(*) FILTER (WHERE {_SQL_STATUS} = 'Missing') AS missing, CAST(sum(length(t)) AS BIGINT) AS title_chars FROM p GROUP BY host")
+@query(f"WITH p AS (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, trim({_SQL_TITLE}) AS t FROM pages) SELECT host, count(*) AS pages, count(*) FILTER (WHERE {_SQL_STATUS} = 'OK') AS ok, count(*) FILTER (WHERE {_SQL_STATUS} = 'Too Short') AS too_short, count(*) FILTER (WHERE {_SQL_STATUS} = 'Too Long') AS too_long, count(*) FILTER (WHERE {_SQL_STATUS} = 'Missing') AS missing, CAST(sum(length(t)) AS BIGINT) AS title_chars FROM p GROUP BY host")
 def title_status_by_host(spark, d):
-    t = pages(spark, d, F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"), _unescaped(F.regexp_extract("html", _TITLE, 1)).alias("t"))
+    t = audit.audit_pages(responses(spark, d)).select(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"), F.col("page.title").alias("t"))
     s = native.title_status(F.col("t"))
     return t.groupBy("host").agg(F.count("*").alias("pages"), *(F.count_if(s == v).alias(n) for n, v in (("ok", "OK"), ("too_short", "Too Short"), ("too_long", "Too Long"), ("missing", "Missing"))), F.sum(F.length("t")).alias("title_chars"))
 
@@ -119,9 +110,46 @@ def page_metrics(spark, d):
     return audit.audit_pages(responses(spark, d)).select("page_id", "page.title", "page.title_status", "page.h1_count", "page.links", "page.internal_links", "page.word_count")
 
 
-@query("SELECT page_id, 'No sub-headers (H2-H6)' AS h2_h6_status, CAST(len(regexp_extract_all(html, '<img')) AS INTEGER) AS total_images, CAST(len(regexp_extract_all(html, '<img')) AS INTEGER) AS images_missing_alt, false AS has_viewport, false AS has_json_ld, '' AS canonical_url, 'Missing' AS description_status, '' AS meta_robots, 'noindex, none, follow' AS x_robots_tag FROM pages")
+# markup put into the pages by number, the same on both sides: (on which pages, text before, value, text after)
+_N = "CAST(page_id AS STRING)"
+_HEAD = [
+    ("page_id % 3 = 0", '<meta name="description" content=" ', "repeat('word ', CAST(page_id % 50 AS INT))", '">'),
+    ("page_id % 4 = 0", '<link rel="next canonical" href="/c/', _N, '">'),
+    ("page_id % 2 = 0", '<meta name="viewport" content="', "''", '">'),
+    ("page_id % 5 = 0", '<script type="application/ld+json">{', "''", "}</script>"),
+    ("page_id % 3 = 1", '<meta name="robots" content="index, NoIndex, noindex', "''", '">'),
+    ("page_id % 6 = 0", '<meta property="og:title" content="Title ', _N, '">'),
+    ("page_id % 9 = 0", '<meta property="og:image" content="/i/', _N, '.png">'),
+    ("page_id % 7 = 0", '<meta name="twitter:card" content="summary', "''", '">'),
+]
+_INSIDE = [
+    ("page_id % 3 > 0", "", "repeat('<h2>a</h2><h4>b</h4>', CAST(page_id % 3 AS INT))", ""),
+    ("page_id % 4 > 0", "", "repeat('<img alt=x><img alt=\" \">', CAST(page_id % 4 AS INT))", ""),
+    ("page_id % 2 = 1", '<a href="https://other.example/', _N, '">x</a><a href="#y">y</a>'),
+    ("page_id % 8 = 0", '<template><h2>no</h2><img><meta name="robots" content="none">', "''", "</template>"),
+    ("page_id % 8 = 1", '<div><template shadowrootmode="open"><h3>yes</h3>', "''", "</template></div>"),
+]
+
+
+def marked_pages(spark, d) -> DataFrame:
+    """Responses whose pages hold such markup, and headers that vary."""
+    text = lambda rows: F.concat(*(F.when(F.expr(on), F.concat(F.lit(a), F.expr(v), F.lit(z))).otherwise("") for on, a, v, z in rows))
+    body = F.replace(F.replace(F.col("body"), F.lit("</head>"), F.concat(text(_HEAD), F.lit("</head>"))), F.lit("<body>"), F.concat(F.lit("<body>"), text(_INSIDE)))
+    robots = F.when(F.col("page_id") % 2 == 0, F.array(F.lit("noindex, follow"), F.lit("none"))).otherwise(F.array(F.lit("all, ALL")))
+    return responses(spark, d).withColumns({"body": body, "x_robots": robots})
+
+
+_SQL_DESCRIPTION = "CASE WHEN page_id % 3 = 0 THEN trim(repeat('word ', CAST(page_id % 50 AS INT))) ELSE '' END"
+_SQL_HEADERS = "CASE page_id % 3 WHEN 0 THEN '' ELSE 'H2:' || (page_id % 3) END || CASE WHEN page_id % 8 = 1 THEN CASE WHEN page_id % 3 = 0 THEN '' ELSE ', ' END || 'H3:1' ELSE '' END || CASE page_id % 3 WHEN 0 THEN '' ELSE ', H4:' || (page_id % 3) END"
+
+
+@query(f"""SELECT page_id, CASE WHEN h = '' THEN 'No sub-headers (H2-H6)' ELSE h END AS h2_h6_status, CAST(page_id % 4 * 2 AS INTEGER) AS total_images, CAST(page_id % 4 AS INTEGER) AS images_missing_alt, page_id % 2 = 0 AS has_viewport, page_id % 5 = 0 AS has_json_ld,
+ CASE WHEN page_id % 4 = 0 THEN '/c/' || page_id ELSE '' END AS canonical_url, t AS description, CASE WHEN length(t) = 0 THEN 'Missing' WHEN length(t) < {native.DESCRIPTION_LIMITS[0]} THEN 'Too Short' WHEN length(t) > {native.DESCRIPTION_LIMITS[1]} THEN 'Too Long' ELSE 'OK' END AS description_status,
+ CASE WHEN page_id % 3 = 1 THEN 'NoIndex, index' ELSE '' END AS meta_robots, CASE WHEN page_id % 2 = 0 THEN 'noindex, none, follow' ELSE 'all' END AS x_robots_tag, CASE WHEN page_id % 6 = 0 THEN 'Title ' || page_id ELSE '' END AS og_title, CASE WHEN page_id % 9 = 0 THEN '/i/' || page_id || '.png' ELSE '' END AS og_image,
+ CASE WHEN page_id % 7 = 0 THEN 'summary' ELSE '' END AS twitter_card, CAST(page_id % 2 AS INTEGER) AS external_links FROM (SELECT page_id, {_SQL_HEADERS} AS h, {_SQL_DESCRIPTION} AS t FROM pages)""")
 def page_flags(spark, d):
-    return audit.audit_pages(responses(spark, d)).select("page_id", *(f"page.{c}" for c in ("h2_h6_status", "total_images", "images_missing_alt", "has_viewport", "has_json_ld", "canonical_url", "description_status", "meta_robots", "x_robots_tag")))
+    names = ("h2_h6_status", "total_images", "images_missing_alt", "has_viewport", "has_json_ld", "canonical_url", "description", "description_status", "meta_robots", "x_robots_tag", "og_title", "og_image", "twitter_card", "external_links")
+    return audit.audit_pages(marked_pages(spark, d)).select("page_id", *(f"page.{c}" for c in names))
 
 
 @query(r"SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '=[^&]*', '=%5BVALUE%5D', 'g') AS safe_url FROM pages")
@@ -175,11 +203,15 @@ def legacy_redaction(spark, d):
     return pages(spark, d, "page_id", native.legacy_url(F.col("url")).alias("safe_url"), native.legacy_text(F.concat(F.lit("get "), "url", F.lit(" failed"))).alias("message"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 15 = 0 THEN 'unavailable' WHEN path LIKE '/fr/1%' AND NOT path LIKE '/%?page=%' THEN 'allowed' WHEN path LIKE '/fr/%' OR path LIKE '/%?page=%' THEN CASE WHEN path LIKE '/fr/1%' THEN CASE WHEN length('/?page=') > length('/fr/1') THEN 'disallowed' ELSE 'allowed' END ELSE 'disallowed' END ELSE 'allowed' END AS robots_outcome FROM (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '^https?://[^/?]+', '') AS path FROM pages)")
+@query("SELECT page_id, CASE WHEN page_id % 15 = 0 OR length(host) % 4 IN (2, 3) THEN 'unavailable' WHEN length(host) % 4 = 1 THEN 'allowed' WHEN path LIKE '/fr/1%' AND NOT path LIKE '/%?page=%' THEN 'allowed' WHEN path LIKE '/fr/%' OR path LIKE '/%?page=%' THEN 'disallowed' ELSE 'allowed' END AS robots_outcome FROM (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, regexp_replace(regexp_replace(url, '#.*$', ''), '^https?://[^/?]+', '') AS path FROM pages)")
 def robots_verdicts(spark, d):
+    """By the host's length a policy was found, was not there, failed or was moved; an older policy that bars all doesn't count."""
     t = pages(spark, d, "page_id", udfs.normalize_target("url").alias("request_url"))
     dead = F.col("page_id") % 15 == 0
-    known = t.filter(~dead).select(F.concat(F.regexp_extract("request_url", "^(https?://)", 1), udfs.authority_key("request_url")).alias("authority")).distinct().select("authority", F.lit(200).alias("status"), F.lit(ROBOTS).alias("body"))
+    host = udfs.authority_key("request_url")
+    status = _pick(F.length("host") % 4, [200, 404, 503, 301], "int")
+    known = t.select(F.concat(F.regexp_extract("request_url", "^(https?://)", 1), host).alias("authority"), host.alias("host")).distinct().select("authority", status.alias("status"), F.lit(ROBOTS).alias("body"), F.lit(2).alias("fetched_at"))
+    known = known.union(known.select("authority", F.lit(200), F.lit("User-agent: *\nDisallow: /\n"), F.lit(1)))
     out = audit.robots_verdicts(t.filter(~dead), known, AGENT).union(audit.robots_verdicts(t.filter(dead), known.limit(0), AGENT))
     return out.select("page_id", "robots_outcome")
 
@@ -193,7 +225,7 @@ _SQL_CLS = """SELECT page_id, CASE WHEN k IN (1,2,4,8,9,10) THEN 'failed' WHEN k
 def classified(spark, d) -> DataFrame:
     p = pages(spark, d, "page_id", "url", (F.col("page_id") % 11).alias("k"))
     k = F.col("k")
-    c = audit.classify(F.when(k == 1, "bad"), F.when(k == 2, "unavailable").when(k == 3, "disallowed").otherwise("allowed"), F.lit(""), F.when(k == 4, "reset"), F.when(k == 5, 301).when(k == 6, 404).otherwise(200), F.when(k == 8, "").when(k == 9, "application/json; profile=text/html").otherwise("text/html; charset=utf-8"), F.when(k == 10, "too long"))
+    c = audit.classify(F.when(k == 1, "bad"), F.when(k == 2, "unavailable").when(k == 3, "disallowed").otherwise("allowed"), F.lit(""), F.when(k == 4, "reset"), F.when(k == 5, 301).when(k == 6, 404).otherwise(200), F.when(k == 8, "").when(k == 9, F.when(F.col("page_id") % 2 == 0, "application/json; profile=text/html").otherwise("text/html; charset")).otherwise('text/html; charset="utf-8"; a=b;'), F.when(k == 10, "too long"))
     return p.withColumn("c", c).select("page_id", "url", "k", "c.*")
 
 
@@ -243,9 +275,9 @@ def ownership_fence(spark, d):
     return state.fenced(target_frame(spark, d), run_frame(spark, d), "w0", 1).select("run_id", "target_id")
 
 
-@query(f"SELECT run_id FROM {RUNS} r WHERE NOT EXISTS (SELECT 1 FROM (SELECT * FROM {TARGETS} WHERE target_id % 2 = 0) t WHERE t.run_id = r.run_id AND t.status IN ('running','abandoned'))")
+@query(f"SELECT run_id FROM {RUNS} r WHERE NOT EXISTS (SELECT 1 FROM (SELECT run_id, CASE WHEN target_id % 2 = 0 THEN status ELSE 'completed' END AS status FROM {TARGETS}) t WHERE t.run_id = r.run_id AND t.status IN ('running','abandoned'))")
 def finalizable_runs(spark, d):
-    return state.finalizable(run_frame(spark, d), target_frame(spark, d).filter("target_id % 2 = 0"), "failed").select("run_id")
+    return state.finalizable(run_frame(spark, d), target_frame(spark, d).withColumn("status", F.when(F.col("target_id") % 2 == 0, F.col("status")).otherwise("completed")), "failed").select("run_id")
 
 
 @query(f"SELECT run_id, CASE WHEN status = 'running' AND heartbeat_at < {_SQL_NOW} + INTERVAL 1 SECOND THEN 'abandoned' ELSE status END AS status FROM {RUNS}")
@@ -287,9 +319,10 @@ def upsert_results(spark, d):
     return sinks.latest(pages(spark, d, (F.col("page_id") % 50).alias("id"), F.col("page_id").alias("v")), ["id"], "v")
 
 
-@query(f"SELECT t.run_id, t.target_id, CASE WHEN c.page_id IS NOT NULL THEN c.scan_status ELSE t.status END AS status FROM {TARGETS} t LEFT JOIN (SELECT * FROM ({_SQL_CLS}) WHERE page_id % 3 = 0) c ON c.page_id = t.target_id")
+@query(f"SELECT t.run_id, t.target_id, CASE WHEN page_id % 3 = 0 THEN c.scan_status ELSE t.status END AS status FROM {TARGETS} t LEFT JOIN ({_SQL_CLS}) c ON c.page_id = t.target_id")
 def update_from_join(spark, d):
-    c = classified(spark, d).filter("page_id % 3 = 0").select(F.concat(F.lit("run-"), F.col("page_id") % 4).alias("run_id"), F.col("page_id").alias("target_id"), "scan_status")
+    run = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("run-"), F.col("page_id") % 4)).otherwise("another")  # two results in three are of a run without targets
+    c = classified(spark, d).select(run.alias("run_id"), F.col("page_id").alias("target_id"), "scan_status")
     return state.update_from(target_frame(spark, d), c, ["run_id", "target_id"], status="scan_status").select("run_id", "target_id", "status")
 
 
@@ -361,10 +394,10 @@ def latest_run_results(spark, d):
     return target_frame(spark, d).join(audit.latest_run(run_frame(spark, d)), "run_id", "left_semi").select("run_id", "target_id")
 
 
-@query(f"SELECT page_id, CASE k WHEN 0 THEN {_SQL_NOW} + to_seconds(CAST(least(page_id, 300) AS INTEGER)) WHEN 1 THEN {_SQL_NOW} + INTERVAL 55 SECOND WHEN 2 THEN {_SQL_NOW} WHEN 3 THEN {_SQL_NOW} + INTERVAL 300 SECOND END AS until FROM (SELECT page_id, page_id % 5 AS k FROM pages)")
+@query(f"SELECT page_id, CASE k WHEN 0 THEN {_SQL_NOW} + to_seconds(CAST(least(page_id, 300) AS INTEGER)) WHEN 1 THEN {_SQL_NOW} + INTERVAL 55 SECOND WHEN 2 THEN {_SQL_NOW} WHEN 3 THEN {_SQL_NOW} + INTERVAL 300 SECOND WHEN 5 THEN {_SQL_NOW} + INTERVAL 56 SECOND WHEN 6 THEN {_SQL_NOW} + INTERVAL 57 SECOND END AS until FROM (SELECT page_id, page_id % 7 AS k FROM pages)")
 def retry_after_deadline(spark, d):
-    k = F.col("page_id") % 5
-    v = F.when(k == 0, F.col("page_id").cast("string")).when(k == 1, "Fri, 02 Jan 2026 03:05:00 GMT").when(k == 2, " Thu, 01 Jan 2026 00:00:00 GMT").when(k == 3, "Sat, 03 Jan 2026 00:00:00 GMT").otherwise("soon")
+    k = F.col("page_id") % 7
+    v = F.when(k == 5, "Friday, 02-Jan-26 03:05:01 GMT").when(k == 6, "Fri Jan  2 03:05:02 2026").when(k == 0, F.col("page_id").cast("string")).when(k == 1, "Fri, 02 Jan 2026 03:05:00 GMT").when(k == 2, " Thu, 01 Jan 2026 00:00:00 GMT").when(k == 3, "Sat, 03 Jan 2026 00:00:00 GMT").otherwise("soon")
     return pages(spark, d, "page_id", v.alias("v")).select("page_id", native.retry_after(F.col("v"), now()).alias("until"))
 
 

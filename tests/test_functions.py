@@ -83,6 +83,31 @@ def test_robots(rules, path, allowed):
     assert robots.path_allowed(rules, "Bot/1.0", path) is allowed
 
 
+@pytest.mark.parametrize(("pattern", "path", "hit"), [("/*a*a*a*a*a*a$", "/" + "a" * 150 + "b", False), ("/" + "*a" * 20 + "$", "/" + "a" * 2000 + "b", False), ("/" + "*a" * 20 + "$", "/" + "a" * 2000, True), ("/a*b*b$", "/ab", False), ("/a*b*b$", "/abxb", True), ("/a**c", "/abc", True), ("*", "/x", True), ("*$", "/x", True), ("/a*a$", "/a", False), ("/$", "/", True)])
+def test_robots_patterns_take_linear_steps(spark, pattern, path, hit):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from pagespan.operators.audit import rule_matches
+
+    rule = robots.Rule(False, pattern.removesuffix("$"), 0, pattern.endswith("$"))
+    began = time.process_time()
+    assert rule.matches(path) is hit and time.process_time() - began < 0.1
+    df = spark.createDataFrame([((rule.pieces, rule.anchored), path)], "r struct<pieces: array<string>, anchored: boolean>, path string")
+    assert df.select(rule_matches(F.col("r"), F.col("path"))).first()[0] is hit
+
+
+def test_native_content_type_is_the_parsers(spark):
+    from pyspark.sql import functions as F
+
+    from pagespan.functions import native
+
+    some = ["text/html", " TEXT/HTML ; charset=utf-8", "text/html; charset", "text/html; charset=", 'text/html; a="x y"; b=c;', "text/html garbage", "application/xhtml+xml;", "application/json; profile=text/html", "text/html;;", "text/html; =x", ""]
+    got = spark.createDataFrame([(x,) for x in some], "c string").select("c", native.html_content_type(F.col("c")).alias("ok")).collect()
+    assert {r.c: r.ok for r in got} == {x: html.content_type_is_html(x) for x in some}
+
+
 def test_robots_limits():
     assert not robots.path_allowed("#" * (512 * 1024 + 1), "Bot", "/")
     assert robots.path_allowed("User-agent: *\n" + "Disallow: /x\n" * 2048, "Bot", "/y")
