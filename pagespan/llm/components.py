@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import drop, partitions, written
 
 #: Rows of a table of a round that one task writes; small rounds keep TASKS tasks.
 ROWS, TASKS = 50_000, 16
@@ -38,8 +38,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round the nodes get an order by hash anew, every node takes the first of itself and its neighbours as parent,
     and the edges between different parents go on to the next round: fewer by a share, on long paths too. Parents are
-    composed at the end of each round. All state is in tables, so plans and their size estimates don't grow. The tasks
-    of a round are as many as its edges need, since late rounds have few.
+    composed at the end of each round. All state is in tables, so plans and their size estimates don't grow, and a round's
+    tables are deleted once the next round's are there. The tasks of a round are as many as its edges need, since late
+    rounds have few.
     """
     most = partitions(edges.sparkSession)
     left = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -51,14 +52,18 @@ def components(edges: DataFrame) -> DataFrame:
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         first = both.groupBy("a").agg(F.min_by("b", rank("b")).alias("m"))
         parent = fit(first.select(F.col("a").alias("node"), F.when(rank("a") <= rank("m"), F.col("a")).otherwise(F.col("m")).alias("parent")))
+        spent = [left]
         if label is None:
             label = parent.withColumnRenamed("parent", "component")
+            label.written_to = parent.written_to
         else:
             step = parent.select(F.col("node").alias("component"), "parent")
+            spent += [parent, label]
             label = written(label.join(step, "component", "left").select("node", F.coalesce("parent", "component").alias("component")))
         of_a, of_b = parent.select(F.col("node").alias("a"), F.col("parent").alias("pa")), parent.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
         moved = left.join(of_a, "a").join(of_b, "b").where("pa <> pb")
         left = fit(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        drop(edges.sparkSession, *(t.written_to for t in spent))
         turn += 1
     if label is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
