@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagespan.llm import quality
-from pagespan.llm.common import shared_folder, table
+from pagespan.llm.common import drop, shared_folder, table, tied
 from pagespan.llm.decontamination import contaminated
 from pagespan.llm.jaccard_join import similar_documents
 from pagespan.llm.line_dedup import EVERY, without_lines
@@ -31,15 +31,24 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the least id. Rows without an id stay."""
-    ids = similar_documents(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates stays: the one with the least id.
+
+    Rows that share an id, or have none, are told apart by their texts and go by a hash of both; of rows with one id and one
+    text the least by all columns stays. Documents without words are near nothing and stay, but for such repeats.
+    """
+    rows = tied(docs)
+    rows = rows.withColumn("_key", F.when(F.col("_tie") == 0, F.col("_id")).otherwise(F.xxhash64("_id", "_tie"))).select(*docs.columns, "_key", "_tie")
+    again = rows.where("_tie <> 0").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*", "_key")
+    rows = rows.where("_tie = 0").drop("_tie").unionByName(again)
+    later = similar_documents(rows.select(F.col("_key").alias("doc_id"), "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("_key"))
+    return rows.join(later, "_key", "left_anti").select(*docs.columns)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, verbatim or with other values, go."""
-    ids = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item, verbatim or with other values, go; rows are told apart by id and text."""
+    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    leaks = contaminated(rows.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_key")).distinct()
+    return rows.join(leaks, "_key", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            drop(spark, last)  # the next stage is there
+        last = f"{folder}/{name}"
     return docs
