@@ -103,10 +103,13 @@ class QualityModel:
                 continue
             sim = v @ self.vectors.T
             k = min(self.neighbours, sim.shape[1])
-            # all that are as near as the k-th vote, so ties don't hang on an order
-            bound = np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k][:, None]
-            row, near = np.nonzero(sim >= bound)
-            weight = np.exp(8 * (sim[row, near].astype(np.float64) - 1)) * np.where(self.labels[near] == 1, self.weights[1], self.weights[0])
+            # all that are as near as the k-th share the places that are left, so ties don't hang on an order
+            bound = np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k]
+            row, near = np.nonzero(sim >= bound[:, None])
+            last = sim[row, near] == bound[row]
+            tied = np.bincount(row, last, len(sim))
+            place = np.where(last, ((k - np.bincount(row, ~last, len(sim))) / tied)[row], 1.0)
+            weight = place * np.exp(8 * (sim[row, near].astype(np.float64) - 1)) * np.where(self.labels[near] == 1, self.weights[1], self.weights[0])
             vote = np.bincount(row, weight * self.labels[near], len(sim)) / np.bincount(row, weight, len(sim))
             real = np.abs(v).sum(1) > 0
             out[i : i + len(o) - 1][real] = vote[real]
@@ -165,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RA
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     """doc_id, score (0 to 1, higher: label 1 likelier), for each row. Null and empty texts get the labels' mean.
-    Of neighbours that tie for the last place all vote, so equal texts get equal scores up to rounding. Only text is an input of the score."""
+    Neighbours that tie for the last places share them, so equal texts get equal scores up to rounding. Only text is an input of the score."""
     prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few MB at most: SAMPLE vectors of RANK numbers, and the basis
 

@@ -464,7 +464,7 @@ def test_quality(spark, docs):
 
 
 def test_quality_votes_by_the_labels_shares():
-    """A balanced sample of labels that are not balanced: votes count by the shares among all labels, and ties all vote."""
+    """A balanced sample of labels that are not balanced: votes count by the shares among all labels, and ties share places."""
     r = np.random.default_rng(1)
     texts = [("aa bb " * 20).strip()] * 8
     buf, off = packing.W.raw(pa.array(texts))
@@ -475,6 +475,13 @@ def test_quality_votes_by_the_labels_shares():
     assert model.score(buf, off) == pytest.approx([0.5] * 8)
     model.weights = (0.2 / 0.5, 0.8 / 0.5)  # one label in five is 0
     assert model.score(buf, off) == pytest.approx([0.8] * 8) and model.mean == pytest.approx(0.8)
+    # many copies at the last place are one place
+    v = model.vectors[0]
+    far = v + np.roll(v, 1)
+    model.vectors = np.vstack([v, v, *[far / np.linalg.norm(far)] * 90]).astype(np.float32)
+    model.labels, model.weights = np.array([1.0, 1, *[0] * 90]), (1.0, 1.0)
+    one = np.exp(8 * (float(v @ model.vectors[2]) - 1))
+    assert model.score(buf, off) == pytest.approx([2 / (2 + one)] * 8, rel=1e-3)
 
 
 def test_secrets_in_a_text_with_many_matches(spark):
