@@ -3,8 +3,9 @@
 Suffixes are kept at minimiser positions alone: the words whose hash of the next ANCHOR words is least in some
 window, so that every passage of PASSAGE words holds at least one whole anchor. First the anchors are sorted by
 hash, and those that occur once are dropped. The others travel with the words around them; there the suffixes are
-sorted, neighbours are compared, those whose longest common prefix is too short for a passage are dropped, and the
-others are extended to the left and right to all passages of PASSAGE words around the anchor.
+sorted, and so are the words before the anchors, read backwards. Neighbours of both orders are compared: runs whose
+common prefixes reach far enough match to the right, and those that lie in a run of the other order too extend to the
+left, to all passages of PASSAGE words around the anchor.
 
 Equal contexts of an anchor travel once with their places, are compared once, and are late as a whole at all places
 but the first. A bucket holds an anchor's places, not texts that grow with documents: PASSAGE words to the right and the rest to
@@ -168,6 +169,27 @@ def _context(n_bucket: int, passage: int, anchor: int):
     return context
 
 
+def _common(key: np.ndarray, words: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Length of the common prefix, in words, of each row and the one before it in the order; 0 between anchors."""
+    r, k = words[order], key[order]
+    return np.logical_and.accumulate(r[1:] == r[:-1], axis=1).sum(1) * (k[1:] == k[:-1])
+
+
+def _best(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The longest prefix that a row shares with a neighbour, so with any other row."""
+    out = np.zeros(len(order), np.int64)
+    out[order[1:]] = common
+    out[order[:-1]] = np.maximum(out[order[:-1]], common)
+    return out
+
+
+def _alike(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+    """Number of each row's run of neighbours with a common prefix of at least `depth` words."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.concatenate([np.zeros(min(1, len(order)), np.int64), np.cumsum(common < depth)])
+    return out
+
+
 def _sort(passage: int, anchor: int):
     left, width = passage - anchor, 2 * passage - anchor
 
@@ -207,45 +229,41 @@ def _sort(passage: int, anchor: int):
         row, size = w.text_of(), np.diff(w.first)
         m[row, left - before[row] + np.arange(len(row)) - w.first[row]] = w.hashes()
         head = w.start[w.first[:-1] + before] - off[:-1]
-        suffix = [b" ".join(x[s:].split()) for x, s in zip(texts, head.tolist(), strict=True)]
-        # the suffix array of this bucket: neighbours share the longest prefix that any other suffix shares
-        order = np.array(sorted(range(n), key=lambda i: (int(key[i]), suffix[i])), np.int64)
-        r = m[order]
-        prefix = np.logical_and.accumulate(r[1:, left:] == r[:-1, left:], axis=1).sum(1)
-        best = np.zeros(n, np.int64)
-        best[order[1:]] = prefix
-        best[order[:-1]] = np.maximum(best[order[:-1]], prefix)
+        # a closing blank: suffixes that begin with the same words are neighbours, one that ends there too
+        suffix = [b" ".join(x[s:].split()) + b" " for x, s in zip(texts, head.tolist(), strict=True)]
+        # the suffix array of this bucket, and that of the words before the anchors, read backwards
+        right = np.array(sorted(range(n), key=lambda i: (int(key[i]), suffix[i])), np.int64)
+        back = np.ascontiguousarray(m[:, :left][:, ::-1])
+        behind = np.argsort(np.column_stack([key, back]).view(f"S{8 * (left + 1)}").ravel())
+        right_by, behind_by = _common(key, m[:, left:], right), _common(key, back, behind)
         first = np.searchsorted(kind, np.arange(n))  # the earliest place of each context
         lo, hi = left - before, left - before + size - passage  # passages by words before the anchor, both inclusive
         later = (doc != doc[first][kind]) | (pos != pos[first][kind])
         many = np.zeros(n, bool)
         many[kind[later]] = True
-        use = np.flatnonzero(((best + left >= passage) | many) & (hi >= lo))
-        r = m[use]
-        h1, h2, at = [], [], []
+        # what the best neighbours share on both sides together bounds every match
+        use = ((_best(right, right_by) + _best(behind, behind_by) >= passage) | many) & (hi >= lo)
+        held = []
         for s in range(left + 1):  # passages that start `left - s` words before the anchor
-            ok = np.flatnonzero((lo[use] <= s) & (s <= hi[use]))
-            a, b = r[ok, s].copy(), r[ok, s] ^ np.uint64(0x5851F42D4C957F2D)
-            for k in range(s + 1, s + passage):
-                a = a * np.uint64(0xA0761D6478BD642F) + r[ok, k]
-                b = b * np.uint64(0xD1342543DE82EF95) + (r[ok, k] ^ np.uint64(0x5851F42D4C957F2D))
-            h1.append(W.mix(a))
-            h2.append(W.mix(b))
-            at.append(np.stack([use[ok], np.full(len(ok), s)]))
-        h1, h2, (c, s) = np.concatenate(h1), np.concatenate(h2), np.concatenate(at, axis=1)
-        wd, wp = doc[first[c]], pos[first[c]] - left + s
+            ok = np.flatnonzero(use & (lo <= s) & (s <= hi))
+            # matches to the right by `passage - left + s` words, extended to the left by the others
+            r, b = _alike(right, right_by, passage - left + s)[ok], _alike(behind, behind_by, left - s)[ok]
+            wd, wp = doc[first[ok]], pos[first[ok]] - left + s
+            order = np.lexsort((wp, wd, b, r))
+            new = np.ones(len(order), bool)
+            new[1:] = (r[order][1:] != r[order][:-1]) | (b[order][1:] != b[order][:-1])
+            head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            held.append((ok[order], wd[order], wp[order], wd[head], wp[head]))
         # the earliest place of each passage is that of some context's earliest place
-        order, lead = _runs(h2, h1)
-        order = order[np.lexsort((wp[order], wd[order], h2[order], h1[order]))]
-        lead = order[np.repeat(lead, np.diff(np.append(lead, len(order))))]
-        late = (wd[order] != wd[lead]) | (wp[order] != wp[lead])
-        spans = [(wd[order][late], wp[order][late], wp[order][late] + passage, wd[lead][late], wp[lead][late])]
+        c, wd, wp, ld, lp = map(np.concatenate, zip(*held, strict=True))
+        late = (wd != ld) | (wp != lp)
+        spans = [(wd[late], wp[late], wp[late] + passage, ld[late], lp[late])]
         # all passages of a context are late at its other places; the least of their earliest places names them
-        o = np.lexsort((wp[lead], wd[lead], c[order]))
-        head = np.searchsorted(c[order][o], np.arange(n))
+        o = np.lexsort((lp, ld, c))
+        head = np.searchsorted(c[o], np.arange(n))
         x = np.flatnonzero(later & (hi >= lo)[kind])
-        y, k = lead[o][head[kind[x]]] if len(x) else np.zeros(0, np.int64), kind[x]
-        spans.append((doc[x], pos[x] - left + lo[k], pos[x] - left + hi[k] + passage, wd[y], wp[y]))
+        y, k = o[head[kind[x]]] if len(x) else np.zeros(0, np.int64), kind[x]
+        spans.append((doc[x], pos[x] - left + lo[k], pos[x] - left + hi[k] + passage, ld[y], lp[y]))
         return _islands(id_, tie, *map(np.concatenate, zip(*spans, strict=True)))
 
     return compare
@@ -274,7 +292,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, anchor: int = ANC
 
     Null, empty and short texts have none. Rows that share a doc_id and a text are one document, and no copies of each
     other; rows that share a doc_id alone are documents in the order of a hash of their texts, and tie tells them apart.
-    Null ids are shared in this sense and come first. Words are compared by 64-bit hashes, passages by two.
+    Null ids are shared in this sense and come first. Words are compared by 64-bit hashes, passages by their words' hashes.
     """
     spark = docs.sparkSession
     prepare(spark)
