@@ -112,6 +112,11 @@ def backoff_cap_ms(attempt: Column, base_ms: int, most_ms: int) -> Column:
     return F.when(F.lit(base_ms <= 0), 0).otherwise(F.least(F.lit(most_ms).cast("double"), F.lit(base_ms) * F.pow(F.lit(2.0), F.least(attempt, F.lit(60))))).cast("long")
 
 
+def clamped_delay_ms(delay_ms: Column, left_ms: Column) -> Column:
+    """A delay cut to what is left of a deadline (null: there is none). Null if a delay is due and nothing is left."""
+    return F.when(delay_ms <= 0, 0).when(left_ms.isNull(), delay_ms).when(left_ms > 0, F.least(delay_ms, left_ms)).cast("long")
+
+
 def retry_after(value: Column, now: Column, most_seconds: int = 300) -> Column:
     """When a Retry-After header allows the next request: seconds or an HTTP date, no later than most_seconds; else null."""
     v = trim(value)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -222,3 +224,58 @@ def report_rows(results: DataFrame) -> DataFrame:
 def latest_run(runs: DataFrame) -> DataFrame:
     """Id of the run that started last; of those that tie, the greatest id."""
     return runs.agg(F.max_by("run_id", F.struct("started_at", "run_id")).alias("run_id"))
+
+
+def run_summary(runs: DataFrame, run_id: str, generated: Column) -> DataFrame:
+    """The report's header for one run: label and tone of its status, counters, times as text."""
+    shown = lambda c: F.coalesce(F.date_format(c, "dd.MM.yyyy HH:mm:ss 'UTC'"), F.lit("-"))
+    status = F.coalesce("status", F.lit(""))
+    return runs.filter(F.col("run_id") == run_id).select(
+        "run_id", native.labelled(status, native.STATUS_LABELS).alias("status"), native.tone(status, F.lit(None).cast("int"), F.lit("")).alias("tone"),
+        "total", "successful", "failed", shown(F.col("started_at")).alias("started_at"), shown(F.col("finished_at")).alias("finished_at"), shown(generated).alias("generated_at"),
+    )
+
+
+def latest_failures(results: DataFrame, runs: DataFrame) -> DataFrame:
+    """Failed results of the run that started last."""
+    return results.filter(F.col("scan_status") == "failed").join(F.broadcast(latest_run(runs)), "run_id", "left_semi")
+
+
+def host_schedule(fetches: DataFrame, interval_ms: int, slots: int = 1) -> DataFrame:
+    """fetches with start_ms: at the earliest when ready, `interval_ms` after the host's last start, with a free one of
+    `slots`, and after every wait that the host has asked for by then. fetches: host, fetch_id, ready_ms, duration_ms,
+    retry_ms (the wait asked for at the end of the fetch, or null).
+
+    Hosts are served in order of ready_ms, fetch_id. Rows of a host stream through one task, which holds the open
+    fetches alone. Rows without a host have no start.
+    """
+    if interval_ms < 0 or slots < 1:
+        raise ValueError("interval_ms must be 0 or more, slots 1 or more")
+
+    def plan(batches):
+        host, last, hold, busy, asked = None, 0, 0, [], []
+        for t in batches:
+            starts = []
+            for h, ready, took, wait in zip(t["host"], t["ready_ms"].tolist(), t["duration_ms"].tolist(), t["retry_ms"], strict=True):
+                if h is None:
+                    starts.append(None)
+                    continue
+                if h != host:
+                    host, last, hold, busy, asked = h, ready - interval_ms, ready, [], []
+                s = max(ready, last + interval_ms, hold)
+                if len(busy) == slots:
+                    s = max(s, heapq.heappop(busy))
+                while asked and asked[0][0] <= s:
+                    hold = max(hold, heapq.heappop(asked)[1])
+                    s = max(s, hold)
+                heapq.heappush(busy, s + took)
+                if wait == wait and wait is not None:
+                    heapq.heappush(asked, (s + took, s + took + int(wait)))
+                last = s
+                starts.append(s)
+            yield t.assign(start_ms=pd.array(starts, dtype="Int64"))
+
+    rows = fetches.withColumns({c: F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in ("ready_ms", "duration_ms")})
+    rows = rows.select("host", "fetch_id", "ready_ms", "duration_ms", F.col("retry_ms").cast("long").alias("retry_ms"))
+    dealt = rows.repartition("host").sortWithinPartitions("host", "ready_ms", "fetch_id")
+    return dealt.mapInPandas(plan, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema)}, start_ms long")

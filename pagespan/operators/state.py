@@ -220,3 +220,13 @@ def run_outcome(total: Column, stream_error: Column, heartbeat_lost: Column, shu
         .when(failed > 0, out("completed_with_errors", 0))
         .otherwise(out("completed", 0))
     )
+
+
+def stale_exists(runs: DataFrame, cutoff: Column) -> DataFrame:
+    """Whether a running run's heartbeat is older: one row, also for an empty table."""
+    return runs.agg(F.coalesce(F.bool_or((F.col("status") == "running") & (F.col("heartbeat_at") < cutoff)), F.lit(False)).alias("found"))
+
+
+def newest(df: DataFrame, by: str, key: str, n: int) -> DataFrame:
+    """The last n rows by time; of those that tie, the greatest keys."""
+    return df.orderBy(F.desc(by), F.desc(key)).limit(n)

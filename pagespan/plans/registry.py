@@ -5,6 +5,8 @@ Runs, targets and results are derived from pages by fixed formulas, the same on
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -408,6 +410,54 @@ def retry_classification(spark, d):
     return pages(spark, d, "page_id", native.retryable_http((400 + p % 105).cast("int"), F.when(p % 2 == 0, "GET").otherwise("POST")).alias("http_again"), native.retryable_sqlstate(s, False).alias("read_again"), native.retryable_sqlstate(s, True).alias("write_again"), native.backoff_cap_ms(p % 6, 200, 2000).alias("cap_ms"))
 
 
+_SQL_LAST = f"(SELECT run_id FROM {RUNS} ORDER BY started_at DESC, run_id DESC LIMIT 1)"
+
+
+@query(f"SELECT EXISTS (SELECT 1 FROM {RUNS} WHERE status = 'running' AND heartbeat_at < {_SQL_NOW} + to_seconds(k)) AS found, k FROM (SELECT unnest([-50, 0, 50]) AS k)")
+def stale_runs_exist(spark, d):
+    return functools.reduce(DataFrame.unionAll, (state.stale_exists(run_frame(spark, d), native.after(now(), k)).withColumn("k", F.lit(k)) for k in (-50, 0, 50)))
+
+
+@query(f"SELECT run_id, CASE status WHEN 'running' THEN 'running' WHEN 'abandoned' THEN 'Перервано' WHEN 'canceled' THEN 'Скасовано' ELSE 'Помилка' END AS status, strftime(started_at, '%d.%m.%Y %H:%M:%S UTC') AS started_at, '-' AS finished_at, '02.01.2026 03:04:05 UTC' AS generated_at, CAST(0 AS BIGINT) AS total FROM {RUNS}")
+def run_summaries(spark, d):
+    return functools.reduce(DataFrame.unionAll, (audit.run_summary(run_frame(spark, d), f"run-{k}", now()) for k in range(4))).select("run_id", "status", "started_at", "finished_at", "generated_at", "total")
+
+
+@query(f"SELECT run_id, status, worker, heartbeat_at, started_at FROM {RUNS} ORDER BY started_at DESC, run_id DESC LIMIT 10")
+def recent_runs(spark, d):
+    return state.newest(run_frame(spark, d), "started_at", "run_id", 10).select("run_id", "status", "worker", "heartbeat_at", "started_at")
+
+
+@query(f"SELECT target_id, status, attempts, claimed_by, lease_until, last_error FROM {TARGETS} WHERE run_id = {_SQL_LAST} ORDER BY target_id LIMIT 20")
+def last_run_progress(spark, d):
+    own = target_frame(spark, d).join(F.broadcast(audit.latest_run(run_frame(spark, d))), "run_id", "left_semi")
+    return own.orderBy("target_id").limit(20).select("target_id", "status", "attempts", "claimed_by", "lease_until", "last_error")
+
+
+@query(f"SELECT page_id AS target_id, error_code FROM ({_SQL_CLS}) WHERE scan_status = 'failed' AND 'run-' || (page_id % 4) = {_SQL_LAST}")
+def last_run_failures(spark, d):
+    r = classified(spark, d).withColumns({"run_id": F.concat(F.lit("run-"), F.col("page_id") % 4), "target_id": F.col("page_id")})
+    return audit.latest_failures(r, run_frame(spark, d)).select("target_id", "error_code")
+
+
+@query("SELECT page_id, CASE WHEN v = 0 THEN 0 WHEN page_id % 3 = 0 THEN v WHEN l > 0 THEN least(v, l) END AS delay_ms FROM (SELECT page_id, CAST(page_id % 5 * 100 AS BIGINT) AS v, CAST(page_id % 7 * 60 - 60 AS BIGINT) AS l FROM pages)")
+def clamped_backoff(spark, d):
+    p = F.col("page_id")
+    left = F.when(p % 3 != 0, p % 7 * 60 - 60)
+    return pages(spark, d, "page_id", native.clamped_delay_ms(p % 5 * 100, left).alias("delay_ms"))
+
+
+# with one slot a fetch holds its host for a known time, so each start is a running sum and a running maximum
+_SQL_HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
+
+
+@query(f"WITH f AS (SELECT {_SQL_HOST} AS host, page_id AS id, page_id * 37 % 1000 * 50 AS ready, greatest(500, page_id % 9 * 100 + CASE WHEN page_id % 10 = 0 THEN 3000 ELSE 0 END) AS step FROM pages), g AS (SELECT *, coalesce(sum(step) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM f WINDOW w AS (PARTITION BY host ORDER BY ready, id)) SELECT host, id AS fetch_id, CAST(s + max(ready - s) OVER (PARTITION BY host ORDER BY ready, id) AS BIGINT) AS start_ms FROM g")
+def host_schedule(spark, d):
+    p = F.col("page_id")
+    f = pages(spark, d, F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"), p.alias("fetch_id"), (p * 37 % 1000 * 50).alias("ready_ms"), (p % 9 * 100).alias("duration_ms"), F.when(p % 10 == 0, 3000).alias("retry_ms"))
+    return audit.host_schedule(f, 500).select("host", "fetch_id", "start_ms")
+
+
 def queries() -> dict:
     return dict(Q)
 

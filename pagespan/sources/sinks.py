@@ -32,16 +32,37 @@ def insert_missing(have: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
     return new.dropDuplicates(keys).join(have.select(*keys), keys, "left_anti")
 
 
-COLUMNS = ["URL", "HTTP", "Status", "Title", "Description", "H1", "Links", "Images without alt", "Robots", "Words", "Duration", "Error"]
+# Headings of the report's columns, counters and times.
+COLUMNS = ["URL", "HTTP", "Статус", "Title", "Description", "H1", "Посилання", "Без alt", "Robots", "Слова", "Час", "Помилки"]
+COUNTERS = {"status": "Статус", "total": "URL у запуску", "successful": "Успішно", "failed": "З помилками"}
+TIMES = {"started_at": "Початок", "finished_at": "Завершення", "generated_at": "Звіт створено"}
 FIELDS = ["url", "http_code", "status", "title", "description", "h1", "links", "images_missing_alt", "robots", "word_count", "duration", "error"]
 
 
+_STYLE = """body{font:14px/1.4 sans-serif;margin:2em;color:#222}
+table{border-collapse:collapse}
+th,td{border:1px solid #ccc;padding:.4em .6em;text-align:left;vertical-align:top;white-space:pre-wrap;overflow-wrap:anywhere}
+dl{display:flex;flex-wrap:wrap;gap:2em}dt{color:#666}dd{margin:0;font-weight:bold}
+.tone-success{color:#064}.tone-warning{color:#850}.tone-danger{color:#a11}.tone-neutral{color:#456}"""
+
+
 def _text(v) -> str:
     return html.escape(str(v), quote=False).replace('"', "&#34;").replace("'", "&#39;")
 
 
-def write_report(rows: DataFrame, folder: str, run_id: str, generated: time.struct_time | None = None, keep: int = 100, name: str = "audit") -> tuple[Path, Path]:
-    """Writes the archive and the latest report, and deletes the oldest archives. rows: as of report_rows(), in order.
+def _head(run_id: str, when: time.struct_time, summary) -> str:
+    """The page up to the table's first row. summary: a row of run_summary(), or None."""
+    made = {"generated_at": time.strftime("%d.%m.%Y %H:%M:%S UTC", when)}
+    known = made if summary is None else summary.asDict() | made
+    tone = {"status": f' class="{_text(known.get("tone", ""))}"'}
+    facts = "".join(f"<div><dt>{label}</dt><dd{tone.get(f, '')}>{_text(known[f])}</dd></div>" for f, label in (COUNTERS | TIMES).items() if f in known)
+    heads = "".join(f"<th>{c}</th>" for c in COLUMNS)
+    return f'<!doctype html>\n<html lang="uk"><head><meta charset="utf-8"><title>{_text(run_id)}</title><style>{_STYLE}</style></head>\n<body><h1>{_text(run_id)}</h1><dl>{facts}</dl>\n<table><thead><tr>{heads}</tr></thead><tbody>\n'
+
+
+def write_report(rows: DataFrame, folder: str, run_id: str, generated: time.struct_time | None = None, keep: int = 100, name: str = "audit", summary: DataFrame | None = None) -> tuple[Path, Path]:
+    """Writes the archive and the latest report, and deletes the oldest archives. rows: as of report_rows(), written by
+    target_id; summary: as of run_summary(), one row.
 
     Rows stream through the driver a partition at a time. Files appear whole or not at all.
     """
@@ -53,11 +74,11 @@ def write_report(rows: DataFrame, folder: str, run_id: str, generated: time.stru
     fd, temp = tempfile.mkstemp(dir=out)
     try:
         with os.fdopen(fd, "w", encoding="utf-8", buffering=1 << 16) as f:
-            f.write(f"<!doctype html><meta charset=utf-8><title>{_text(run_id)}</title><p>{time.strftime('%d.%m.%Y %H:%M:%S UTC', when)}</p><table><tr>{''.join(f'<th>{c}</th>' for c in COLUMNS)}</tr>\n")
-            for r in rows.toLocalIterator():
+            f.write(_head(run_id, when, summary.first() if summary is not None else None))
+            for r in rows.orderBy("target_id").toLocalIterator():
                 cells = "".join(f"<td>{_text(r[c])}</td>" for c in FIELDS)
                 f.write(f'<tr class="{_text(r.tone)}">{cells}</tr>\n')
-            f.write("</table>\n")
+            f.write("</tbody></table></body></html>\n")
             f.flush()
             os.fsync(f.fileno())
         os.replace(temp, archive)

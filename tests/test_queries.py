@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from pagespan.operators import state
+from pagespan.operators import audit, state
 from pagespan.plans import registry
 from pagespan.sources import sinks, tables
 from pagespan.streaming.audit_stream import HeartbeatMonitor, audit_stream, stream_responses
@@ -59,6 +59,32 @@ def test_report_files(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == sorted([archive.name, latest.name, old[2].name])
 
 
+def test_report_head(spark, tmp_path):
+    rows = registry.report_rows(spark, DATA).orderBy(F.desc("target_id")).limit(3)
+    full = rows.select("*", *(F.lit("-").alias(c) for c in sinks.FIELDS if c not in rows.columns and c != "url"), F.col("target_id").cast("string").alias("url"))
+    summary = audit.run_summary(registry.run_frame(spark, DATA), "run-3", registry.now())
+    text = sinks.write_report(full, str(tmp_path), "run-3", summary=summary)[0].read_text()
+    assert '<dd class="tone-warning">Скасовано</dd>' in text and "<dt>Завершення</dt><dd>-</dd>" in text and "<th>Посилання</th>" in text
+    ids = [r.target_id for r in rows.orderBy("target_id").collect()]
+    at = [text.index(f"<td>{i}</td>") for i in ids]
+    assert at == sorted(at)
+
+
+def test_host_schedule(spark):
+    f = [("a", 1, 0, 900, None), ("a", 2, 0, 100, 2000), ("a", 3, 0, 100, None), ("b", 4, 70, None, None), (None, 5, 0, 1, None), ("a", 6, 9000, 1, None)]
+    df = spark.createDataFrame(f, "host string, fetch_id long, ready_ms long, duration_ms long, retry_ms long")
+    starts = lambda n: {r.fetch_id: r.start_ms for r in audit.host_schedule(df, 500, n).collect()}
+    assert starts(1) == {1: 0, 2: 900, 3: 3000, 4: 70, 5: None, 6: 9000}
+    assert starts(2) == {1: 0, 2: 500, 3: 2600, 4: 70, 5: None, 6: 9000}
+    assert audit.host_schedule(df.limit(0), 500).count() == 0
+    with pytest.raises(ValueError):
+        audit.host_schedule(df, 500, 0)
+
+
+def test_stale_exists_of_no_runs(spark):
+    assert [r.found for r in state.stale_exists(registry.run_frame(spark, DATA).limit(0), registry.now()).collect()] == [False]
+
+
 def test_sources_and_stream(spark, tmp_path):
     assert [tuple(r) for r in tables.from_arrays(spark, [1, 2], ["a", "b"]).collect()] == [(1, "a"), (2, "b")]
     r = registry.responses(spark, DATA)
