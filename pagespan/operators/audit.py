@@ -190,6 +190,30 @@ def sanitize(df: DataFrame) -> DataFrame:
     return out
 
 
+def audit_run(queue: DataFrame, policies: DataFrame, responses: DataFrame, run_id: str, key: bytes, key_id: str, user_agent: str, now: Column) -> DataFrame:
+    """The result row of each queued target, ready for append_log(). queue: id, url; policies: see robots_verdicts();
+    responses: target_id, url, status, body, content_type, x_robots, request_error, network_error, location,
+    duration_ms, one row at most for each target.
+
+    Bodies are parsed where they are read and never shuffled; metrics and verdicts are joined by target. A response to a
+    target that must not be fetched has no effect; a target without a response failed to be requested.
+    """
+    parsed = audit_pages(responses.withColumn("status", F.coalesce("status", F.lit(0)))).drop("body", "x_robots", "url")
+    rows = robots_verdicts(make_targets(queue, key), policies, user_agent).join(parsed, "target_id", "left")
+    status = F.nullif("status", F.lit(0))
+    c = classify(F.col("url_error"), F.col("robots_outcome"), F.col("request_error"), F.col("network_error"), status, F.col("content_type"), F.col("parse_error"))
+    why = [F.when(F.col("c.error_code") == code, F.col(f)) for code, f in (("invalid_target_url", "url_error"), ("request_creation_failed", "request_error"), ("request_failed", "network_error"), ("response_parse_failed", "parse_error"))]
+    rows = rows.withColumn("c", c).withColumns({
+        "page": F.when((F.col("c.scan_status") == "completed") & (F.col("c.status_code") == 200), F.col("page")),
+        "redirect_url": F.when(F.col("c.is_redirect"), F.coalesce("location", F.lit(""))).otherwise(""),
+        "error_message": F.coalesce(*why, F.lit("")),
+        "duration_ms": F.when(F.col("c.robots_allowed"), F.coalesce("duration_ms", F.lit(0))).otherwise(0).cast("long"),
+    })
+    out = sanitize(rows.select("target_id", "safe_url", "fingerprint", "c.*", "page", "redirect_url", "error_message", "duration_ms"))
+    named = out.select(F.lit(run_id).alias("run_id"), *(x for x in out.columns if x != "page"), "page.*", F.lit(key_id).alias("fingerprint_key_id"), now.alias("created_at"))
+    return with_defaults(named)
+
+
 def result_counters(results: DataFrame) -> DataFrame:
     """received, saved, successful, failed, persistence_failures of result rows: those without a target can't be saved."""
     saved = F.coalesce(F.col("target_id") != 0, F.lit(False))

@@ -410,6 +410,45 @@ def retry_classification(spark, d):
     return pages(spark, d, "page_id", native.retryable_http((400 + p % 105).cast("int"), F.when(p % 2 == 0, "GET").otherwise("POST")).alias("http_again"), native.retryable_sqlstate(s, False).alias("read_again"), native.retryable_sqlstate(s, True).alias("write_again"), native.backoff_cap_ms(p % 6, 200, 2000).alias("cap_ms"))
 
 
+# eleven kinds of targets by number: from the queue over robots rules and responses to result rows
+_SQL_RUN_URL = "CASE page_id % 11 WHEN 1 THEN 'ftp://bad.example/' WHEN 2 THEN 'https://norules.example/' WHEN 3 THEN 'https://site.example/private/' ELSE 'https://site.example/p/' END || page_id"
+
+
+def run_results(spark, d) -> DataFrame:
+    p = F.col("page_id")
+    k = p % 11
+    rows = pages(spark, d, "page_id", F.expr(_SQL_RUN_URL.replace("|| page_id", "|| CAST(page_id AS STRING)")).alias("url"), "html")
+    policies = spark.createDataFrame([("https://site.example", 200, "User-agent: *\nDisallow: /private/\n")], "authority string, status int, body string")
+    r = rows.filter(k != 7).select(
+        p.alias("target_id"), "url", F.when(k == 4, None).when(k == 5, 301).when(k == 6, 404).otherwise(200).alias("status"), F.col("html").alias("body"), F.when(k == 8, "").when(k == 9, "application/json").otherwise("text/html").alias("content_type"),
+        F.array(F.lit("noindex")).alias("x_robots"), F.when(k == 10, "no request").alias("request_error"), F.when(k == 4, "reset").alias("network_error"), F.when(k == 5, F.concat(F.lit("https://site.example/to/"), p)).alias("location"), (p % 4000).alias("duration_ms"),
+    )
+    return audit.audit_run(rows.select(p.alias("id"), "url"), policies, r, "run-0", KEY, "k1", AGENT, now())
+
+
+@query(f"""SELECT page_id AS target_id, 'run-0' AS run_id, CASE WHEN k IN (1,2,4,7,8,9,10) THEN 'failed' WHEN k = 3 THEN 'blocked_by_robots' WHEN k = 5 THEN 'redirect' ELSE 'completed' END AS scan_status,
+ CASE k WHEN 1 THEN 'invalid_target_url' WHEN 2 THEN 'robots_unavailable' WHEN 4 THEN 'request_failed' WHEN 7 THEN 'request_failed' WHEN 8 THEN 'missing_content_type' WHEN 9 THEN 'unsupported_content_type' WHEN 10 THEN 'request_creation_failed' ELSE '' END AS error_code,
+ CASE k WHEN 1 THEN 'not_checked' WHEN 2 THEN 'unavailable' WHEN 3 THEN 'disallowed' ELSE 'allowed' END AS robots_outcome, CASE WHEN k IN (1,2,3,4,7,10) THEN NULL WHEN k = 5 THEN 301 WHEN k = 6 THEN 404 ELSE 200 END AS status_code,
+ CASE WHEN k = 0 THEN left(trim({_SQL_TITLE}), 500) END AS title, CASE WHEN k = 0 THEN 'noindex' END AS x_robots_tag, CASE WHEN k = 5 THEN 'https://site.example/to/' || page_id ELSE '' END AS redirect_url, CASE WHEN k IN (1,2,3,7) THEN 0 ELSE page_id % 4000 END AS duration_ms FROM (SELECT *, page_id % 11 AS k FROM pages)""")
+def audit_run(spark, d):
+    return run_results(spark, d).select("target_id", "run_id", "scan_status", "error_code", "robots_outcome", "status_code", "title", "x_robots_tag", "redirect_url", "duration_ms")
+
+
+_SQL_HELD = "t.run_id = 'run-0' AND t.status = 'running' AND claimed_by = 'w0' AND claim_generation = 1"
+
+
+@query(f"SELECT run_id, target_id, CASE WHEN NOT coalesce({_SQL_HELD}, false) THEN status WHEN target_id % 11 IN (1,2,4,7,8,9,10) THEN 'failed' ELSE 'completed' END AS status, coalesce({_SQL_HELD}, false) OR status IN ('completed','failed','canceled') AS finished FROM {TARGETS} t")
+def finish_targets(spark, d):
+    out = state.mark_finished(target_frame(spark, d), run_results(spark, d), run_frame(spark, d), "run-0", "w0", 1, now())
+    return out.select("run_id", "target_id", "status", F.col("finished_at").isNotNull().alias("finished"))
+
+
+@query(f"SELECT run_id, target_id, CASE WHEN {_SQL_HELD} THEN {_SQL_NOW} + to_seconds(150) ELSE lease_until END AS lease_until, CASE WHEN run_id = 'run-0' THEN {_SQL_NOW} + to_seconds(60) ELSE heartbeat_at END AS heartbeat_at FROM {TARGETS} t JOIN (SELECT run_id, heartbeat_at FROM {RUNS}) r USING (run_id)")
+def heartbeat_leases(spark, d):
+    runs, targets = state.heartbeat(run_frame(spark, d), target_frame(spark, d), "run-0", "w0", 1, native.after(now(), 60), 90_000)
+    return targets.join(F.broadcast(runs.select("run_id", "heartbeat_at")), "run_id").select("run_id", "target_id", "lease_until", "heartbeat_at")
+
+
 _SQL_LAST = f"(SELECT run_id FROM {RUNS} ORDER BY started_at DESC, run_id DESC LIMIT 1)"
 
 
