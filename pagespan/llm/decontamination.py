@@ -174,7 +174,7 @@ class Index:
         for d, i, n in zip(shift.tolist(), theirs.tolist(), size.tolist(), strict=True):
             covered[d].update(range(i, i + n))
         for d, _ in sorted(by.items(), key=lambda x: (-x[1], x[0])):
-            for i in covered[d]:
+            for i in sorted(covered[d]):  # of values that fill a slot equally often, the first in the item counts
                 best.setdefault(i, i + d)
         slots = [(int(self.value[i]), int(value[j])) for i, j in best.items() if self.slot[i]]
         fill, back = defaultdict(Counter), defaultdict(Counter)

@@ -5,14 +5,16 @@ import hashlib
 import math
 import random
 import re
+import statistics
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from pagespan.llm import fingerprints, jaccard_join, line_dedup, lm_scoring, packing, quality, secrets, substring_dedup, suffix_dedup
+from pagespan.llm import decontamination, fingerprints, jaccard_join, line_dedup, lm_scoring, packing, quality, secrets, substring_dedup, suffix_dedup
 from pagespan.llm.components import components
 from pagespan.llm.decontamination import contaminated
 
@@ -327,6 +329,96 @@ def test_decontamination_of_items_dense_in_values(spark):
     assert got == {(0, 1): True, (1, 1): False, (3, 2): True, (4, 2): False, (6, 3): True}
 
 
+def _template(text):
+    """Words of a text as (value, template), by the rules of op7 in plain words."""
+    punctuation, out, at, before = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]), [], 0, None
+    raw = (text or "").encode()
+    for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw):
+        core = m[0]
+        for _ in range(3):
+            core = core[1:] if core[:1] and core[0] in punctuation else core
+            core = core[:-1] if core[:1] and core[-1] in punctuation else core
+        opens = before is None or before[-1:] in (b".", b"!", b"?", b":") or b"\n" in raw[at : m.start()]
+        value = core.translate(LOW)
+        number = core[:1].isdigit()
+        name = not opens and re.match(rb"[A-Z][a-z]|\xc3[\x80-\x9e]", core) is not None
+        unit = bool(out) and out[-1][1] == "number" and value.decode("utf-8", "replace") in decontamination.UNITS
+        out.append((value, "number" if number else "unit" if unit else "name" if name else value))
+        at, before = m.end(), m[0]
+    return out
+
+
+def _item_windows(words):
+    """(start, length, by value) of the windows that an item is known by."""
+    slot = [isinstance(t, str) for _, t in words]
+    literals = lambda a, n: n - sum(slot[a : a + n])
+    size, out = len(words), set()
+    n = min(8, size)
+    for a in range(size - n + 1 if size else 0):
+        few = literals(a, n) < min(5, n)
+        if few or a == 0:
+            out.add((a, n, True))
+        if not few:
+            out.add((a, n, False))
+            continue
+        wider = [(a, m) for m in range(n + 1, 33) if a + m <= size and literals(a, m) >= 5][:1] or [(a + n - m, m) for m in range(n + 1, 33) if a + n >= m and literals(a + n - m, m) >= 5][:1]
+        if not wider and size <= 32 and literals(0, size) >= 3:
+            wider = [(0, size)]
+        out |= {(*x, False) for x in wider}
+    return out
+
+
+def test_decontamination_by_brute_force(spark, tmp_path):
+    r = random.Random(7)
+    plain = ["apple", "basket", "carries", "every", "farmer", "gives", "house", "into", "keeps", "ladder", "makes", "never", "orders", "pays", "quickly"]
+    ask = [[r.choice(plain) if r.random() < 0.7 else r.choice(["#1", "#2", "#3", "@1", "@2"]) for _ in range(r.randint(12, 40))] for _ in range(30)]
+    fill = lambda form, v: " ".join(v.get(x, x) for x in form)
+    first, then = {"#1": "12", "#2": "7", "#3": "350", "@1": "Anna", "@2": "Rome"}, {"#1": "5", "#2": "81", "#3": "9", "@1": "Olga", "@2": "Paris"}
+    items = [*pq.read_table("/root/testdata/sf0.001/benchmark.parquet").select(["item_id", "text"]).to_pylist(), {"item_id": None, "text": "What is 17 times 23?"}, {"item_id": 5000, "text": None}]
+    items += [{"item_id": 9000 + i, "text": fill(form, first)} for i, form in enumerate(ask)]
+    rows = pq.read_table("/root/testdata/sf0.001/documents.parquet").select(["doc_id", "text"]).to_pylist()
+    rows += [{"doc_id": 10**6 + i, "text": f"he asked: so {fill(form, then)} and left"} for i, form in enumerate(ask)]
+    odd = [None, "", "What is 17 times 23?", rows[0]["text"], fill(ask[0], first) + " " + fill(ask[0], then)]
+    rows += [{"doc_id": d, "text": t} for d, t in enumerate(odd, 2 * 10**6)] + [rows[-1], {"doc_id": None, "text": odd[2]}]
+    for name, table in (("documents", rows), ("benchmark", items)):
+        pq.write_table(pa.Table.from_pylist(table), tmp_path / f"{name}.parquet")
+    index, known = collections.defaultdict(set), {}
+    for k, x in enumerate({(x["item_id"], x["text"] or ""): 0 for x in items}):
+        known[k] = (x[0], _template(x[1]))
+        for a, n, exact in _item_windows(known[k][1]):
+            index[(exact, *(w[0] if exact else w[1] for w in known[k][1][a : a + n]))].add((k, a))
+    lengths = {(key[0], len(key) - 1) for key in index}
+    want = collections.Counter()
+    for row in rows:
+        words, hits = _template(row["text"]), collections.defaultdict(list)
+        for exact, n in lengths:
+            part = [w[0] if exact else w[1] for w in words]
+            for j in range(len(words) - n + 1):
+                for k, a in index.get((exact, *part[j : j + n]), ()):
+                    hits[k].append((j - a, a, n))
+        for k, found in hits.items():
+            total, pair = collections.Counter(), {}
+            for shift, _, n in found:
+                total[shift] += n
+            for shift in sorted(total, key=lambda x: (-total[x], x)):
+                for i in sorted({i for s, a, n in found if s == shift for i in range(a, a + n)}):
+                    pair.setdefault(i, i + shift)
+            id_, item = known[k]
+            filled = [(item[i][0], words[j][0]) for i, j in pair.items() if isinstance(item[i][1], str)]
+            there, back = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+            for x, y in filled:
+                there[x][y] += 1
+                back[y][x] += 1
+            share = statistics.mean([there[x].most_common(1)[0][0] == y and back[y].most_common(1)[0][0] == x for x, y in filled] or [1])
+            if len(pair) >= 0.6 * len(item) and share >= 0.8:
+                want[row["doc_id"], id_, len(pair), len(item), len(filled), all(x == y for x, y in filled), min(pair.values()), max(pair.values()) + 1] += 1
+    out = decontamination.op7_decontamination(spark, str(tmp_path)).collect()
+    key = lambda x: (x.doc_id, x.item_id, x.n_matched, x.item_words, x.n_slots, x.verbatim, x.start, x.stop)
+    assert collections.Counter(map(key, out)) == want
+    # questions asked again with other numbers and names
+    assert len({x.doc_id - 10**6 for x in out if x.item_id == 9000 + (x.doc_id or 0) - 10**6 and not x.verbatim}) >= 27
+
+
 def test_lm_scoring(docs, texts, odd):
     out = {r.doc_id: r for r in lm_scoring.score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2).collect()}
     held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
