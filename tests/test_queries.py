@@ -1,12 +1,13 @@
 """Every query against its SQL, and state rules that pages don't reach."""
 
 import time
+from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from pagespan.operators import audit, state
+from pagespan.operators import audit, legacy, state
 from pagespan.plans import registry
 from pagespan.sources import sinks, tables
 from pagespan.streaming.audit_stream import HeartbeatMonitor, audit_stream, stream_responses
@@ -33,6 +34,25 @@ def test_query(spark, con, name):
     assert have == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=repr)
 
 
+def differing(spark, folder, name, pages):
+    """Rows that a query and its SQL don't share, over pages of (page_id, url, html) of its own."""
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/pages.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view pages as select * from '{folder}/pages.parquet/*.parquet'")
+    df, rel = registry.queries()[name](spark, str(folder)), c.sql(registry.oracle_sql()[name])
+    have, want = (Counter(tuple(r[x] for x in at) for r in rows) for at, rows in ((rel.columns, df.collect()), (range(len(rel.columns)), rel.fetchall())))
+    return have - want, want - have
+
+
+def test_legacy_results_whose_url_comes_again(spark, tmp_path):
+    none = (Counter(), Counter())
+    assert differing(spark, tmp_path, "legacy_import_results", [(i, f"https://a.example/{i % 5}", "") for i in range(20)]) == none
+    old = registry.old_results(spark, str(tmp_path))
+    once = legacy.import_results(old, "legacy:", registry.now())
+    assert sorted(r.target_id for r in once.collect()) == [-4, -3, -2, -1, 0]  # five runs, each with one URL
+    assert sum(r.total for r in legacy.import_runs(old, "legacy:", registry.now()).collect()) == 20
+
+
 def test_acquire_and_finalize(spark):
     runs, targets, now = registry.run_frame(spark, DATA), registry.target_frame(spark, DATA), registry.now()
     after = {r.run_id: (r.status, r.generation, r.worker) for r in state.acquire_run(state.acquire_run(runs, "run-2", "w9", now), "new", "w9", now).collect()}
