@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from pagespan.functions import native
 from pagespan.operators import audit, legacy, state
 from pagespan.plans import registry
 from pagespan.sources import sinks, tables
@@ -53,6 +54,13 @@ def test_legacy_results_whose_url_comes_again(spark, tmp_path):
     assert sum(r.total for r in legacy.import_runs(old, "legacy:", registry.now()).collect()) == 20
 
 
+def test_durations_round_as_in_c(spark, tmp_path):
+    assert differing(spark, tmp_path, "report_rows", [(i, "https://a.example/", "") for i in range(995, 4000)]) == (Counter(), Counter())
+    ms = [0, 999, 1000, 1005, 1125, 1135, 1375, 1999, 59_995, 600_005, 2_048_005, 10**9 + 15, 2**53 - 1, 2**63 - 1]
+    got = spark.createDataFrame([(x,) for x in ms], "ms long").select("ms", native.duration(F.col("ms")).alias("d")).collect()
+    assert {r.ms: r.d for r in got} == {x: f"{x} ms" if x < 1000 else f"{x / 1000:.2f} s" for x in ms}
+
+
 def test_acquire_and_finalize(spark):
     runs, targets, now = registry.run_frame(spark, DATA), registry.target_frame(spark, DATA), registry.now()
     after = {r.run_id: (r.status, r.generation, r.worker) for r in state.acquire_run(state.acquire_run(runs, "run-2", "w9", now), "new", "w9", now).collect()}
