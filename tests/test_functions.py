@@ -27,6 +27,13 @@ def test_full_page():
     assert (p["total_images"], p["images_missing_alt"], p["meta_robots"], p["x_robots_tag"]) == (3, 2, "index, follow", "noindex, googlebot: none")
 
 
+def test_references_without_semicolon():
+    text = "<title>a &amp b&amp;amp; &#38 &#x26; &ampx &quot;&foo;</title><body>x&nbsp y"
+    assert (page(text)["title"], page(text)["word_count"]) == ('a & b&amp; & & &x "&foo;', 2)
+    assert (page(text, bare=False)["title"], page(text, bare=False)["word_count"]) == ('a &amp b&amp; &#38 & &ampx "&foo;', 2)
+    assert html.closed_references("&ampx;&am;&amp;&#0038;") == "&ampx;&am;&&"
+
+
 def test_words_do_not_split_at_tags():
     assert page("<body>" + "<i>x</i>" * 1000)["word_count"] == 1
     assert page("<head><title>t</title></head>one <script>two</script>three<style>x</style> four")["word_count"] == 3

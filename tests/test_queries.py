@@ -61,6 +61,18 @@ def test_durations_round_as_in_c(spark, tmp_path):
     assert {r.ms: r.d for r in got} == {x: f"{x} ms" if x < 1000 else f"{x / 1000:.2f} s" for x in ms}
 
 
+# what is cut within a reference, and references that close
+TITLES = ["", "a title of some length that is&amp", "&amp;&amp;amp; x&am", "&ampx &quot y &quot;z&quot;", "a &copy b &copy; c &middot;&middot", "&lt", "&&amp;&#38"]
+
+
+def titled():
+    return [(i, f"https://h{i % 3}.example/{i}", f"<html><head><title>{TITLES[i % len(TITLES)]}</title></head><body><h1>h</h1><p>one&nbsp;two&nbsp three</p></body></html>") for i in range(154)]
+
+
+def test_page_metrics_of_cut_references(spark, tmp_path):
+    assert differing(spark, tmp_path, "page_metrics", titled()) == (Counter(), Counter())
+
+
 def test_acquire_and_finalize(spark):
     runs, targets, now = registry.run_frame(spark, DATA), registry.target_frame(spark, DATA), registry.now()
     after = {r.run_id: (r.status, r.generation, r.worker) for r in state.acquire_run(state.acquire_run(runs, "run-2", "w9", now), "new", "w9", now).collect()}
