@@ -69,6 +69,10 @@ def titled():
     return [(i, f"https://h{i % 3}.example/{i}", f"<html><head><title>{TITLES[i % len(TITLES)]}</title></head><body><h1>h</h1><p>one&nbsp;two&nbsp three</p></body></html>") for i in range(154)]
 
 
+def test_title_status_of_cut_references(spark, tmp_path):
+    assert differing(spark, tmp_path, "title_status_by_host", titled()) == (Counter(), Counter())
+
+
 def test_page_metrics_of_cut_references(spark, tmp_path):
     assert differing(spark, tmp_path, "page_metrics", titled()) == (Counter(), Counter())
 
