@@ -77,6 +77,10 @@ def test_page_metrics_of_cut_references(spark, tmp_path):
     assert differing(spark, tmp_path, "page_metrics", titled()) == (Counter(), Counter())
 
 
+def test_audit_run_of_cut_references(spark, tmp_path):
+    assert differing(spark, tmp_path, "audit_run", titled()) == (Counter(), Counter())
+
+
 def test_acquire_and_finalize(spark):
     runs, targets, now = registry.run_frame(spark, DATA), registry.target_frame(spark, DATA), registry.now()
     after = {r.run_id: (r.status, r.generation, r.worker) for r in state.acquire_run(state.acquire_run(runs, "run-2", "w9", now), "new", "w9", now).collect()}
