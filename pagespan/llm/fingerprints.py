@@ -5,8 +5,8 @@ u1, u2, u3, u4, and with them the gamma variates r = -ln u1 - ln u2 and c = -ln
 (ln u1 + ln u2), which doesn't hang on r. t = floor(ln w / r + b), and the term's key is c exp(-r (t - b + 1)). The least
 key over the terms is the slot's sample. Two texts agree in a slot with the probability of their generalised Jaccard
 similarity: the sum of least weights over the sum of greatest. A key is a function of slot, term and t, so equal keys
-stand for equal samples. For t = 0, as for all terms that occur once, r (1 - b) = -ln u1 and the key is c u1, which
-costs one hash and one logarithm.
+stand for equal samples. As r (1 - b) = -ln u1, the key is c u1 exp(-r t): for terms that occur once, where t = 0,
+that costs one hash and one logarithm.
 
 Every term is sampled in every slot, so the share of equal slots is an unbiased estimate for skewed bags too. A slot is
 kept as 16 bits, so unequal slots agree by chance once in 65,536 times.
@@ -14,6 +14,7 @@ kept as 16 bits, so unequal slots agree by chance once in 65,536 times.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -33,12 +34,11 @@ def sample_key(term: Column, log_weight: Column, slot: int) -> Column:
     h = F.xxhash64(term, F.lit(slot))
     u1 = _uniform(F.shiftrightunsigned(h, 32), 32)
     c = -F.log(_uniform(h.bitwiseAND(0xFFFF), 16) * _uniform(F.shiftrightunsigned(h, 16).bitwiseAND(0xFFFF), 16))
-    e1, e2 = -F.log(u1), -F.log(_uniform(F.shiftrightunsigned(F.xxhash64(term, F.lit(SLOTS + slot)), 32), 32))
-    r = e1 + e2
-    b = e2 / r
-    t = F.floor(log_weight / r + b)
-    # a branch is computed only where it holds
-    return c * F.when(log_weight == 0, u1).otherwise(F.when(t == 0, u1).otherwise(F.exp(-r * (t - b + 1.0))))
+    u2 = _uniform(F.shiftrightunsigned(F.xxhash64(term, F.lit(SLOTS + slot)), 32), 32)
+    r = -F.log(u1 * u2)
+    t = F.floor((log_weight - F.log(u2)) / r)
+    # a branch is computed only where it holds; each use of a column is one more copy of its tree in all 64 slots' plan
+    return c * u1 * F.when(log_weight == 0, 1.0).otherwise(F.exp(-r * t))
 
 
 def samples(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -69,18 +69,21 @@ def likeness(a: Column, b: Column) -> Column:
 
 def _bounds(rows: DataFrame, n: int) -> list[tuple[int, int]]:
     """At most n - 1 keys (order, tie) that cut rows into about equal ranges, of a sample of about 32 n keys. They only say
-    where a row is worked on."""
+    where a row is worked on. The driver gets the sample as Arrow columns, 16 bytes a key."""
     keys = rows.select("order", "tie")
     count = keys.count()
-    got = sorted(map(tuple, keys.sample(min(1.0, 32 * n / max(count, 1)), 1).collect()))
-    return sorted({got[i * len(got) // n] for i in range(1, n)}) if got else []
+    got = keys.sample(min(1.0, 32 * n / max(count, 1)), 1).toArrow()
+    order, tie = (got[c].to_numpy() for c in ("order", "tie"))
+    place = np.lexsort((tie, order))[np.arange(1, n) * len(got) // n] if len(got) else []
+    return sorted(set(zip(order[place].tolist(), tie[place].tolist(), strict=True)))
 
 
 def _range_of(order: Column, tie: Column, bounds: list[tuple[int, int]]) -> Column:
     """Number of bounds that are not greater, by binary search."""
     if not bounds:
         return F.lit(0)
-    first, second = (F.lit([b[i] for b in bounds]).cast("array<bigint>") for i in (0, 1))
+    # one literal each: an expression for each bound would be copied by every rule of the optimizer
+    first, second = (F.split(F.lit(",".join(str(b[i]) for b in bounds)), ",").cast("array<bigint>") for i in (0, 1))
     steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
 
     def step(at: Column, size: Column) -> Column:

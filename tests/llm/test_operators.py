@@ -1,5 +1,6 @@
 """Each operator against brute force on a small table with nulls, empty, short and long texts, copies and repeated rows."""
 
+import bisect
 import collections
 import hashlib
 import math
@@ -296,6 +297,24 @@ def test_fingerprints_of_any_ids(spark):
     assert one[0].near_next == 1
 
 
+def test_fingerprint_plan_is_small(spark):
+    """The driver holds several copies of the plan: a key names its hashes few times, and bounds are no expressions."""
+    df = spark.createDataFrame([("a", 0.0), ("b", 1.5), ("c", 4.0)], "term string, lw double").withColumn("key", fingerprints.sample_key(F.col("term"), F.col("lw"), 3))
+    assert df._jdf.queryExecution().analyzed().toString().count("xxhash64") <= 8
+    u = lambda h, bits: ((h & (1 << bits) - 1) + 0.5) * 2.0**-bits
+    for x in df.withColumns({"h": F.xxhash64("term", F.lit(3)), "g": F.xxhash64("term", F.lit(fingerprints.SLOTS + 3))}).collect():
+        e1, e2 = -math.log(u(x.h >> 32, 32)), -math.log(u(x.g >> 32, 32))
+        r, c = e1 + e2, -math.log(u(x.h, 16) * u(x.h >> 16, 16))
+        b = e2 / r
+        assert x.key == pytest.approx(c * math.exp(-r * (math.floor(x.lw / r + b) - b + 1)), rel=1e-9)
+    bounds = [(i * 7 - 5000, i % 3) for i in range(1500)]
+    at = spark.range(-800, 800).select((F.col("id") * 7).alias("order"), F.lit(1).cast("long").alias("tie")).withColumn("n", fingerprints._range_of(F.col("order"), F.col("tie"), bounds))
+    assert at._jdf.queryExecution().analyzed().numberedTreeString().count(" as bigint") < 50
+    assert all(x.n == bisect.bisect_right(bounds, (x.order, x.tie)) for x in at.collect())
+    got = fingerprints._bounds(at.select("order", "tie").repartition(3), 8)
+    assert got == sorted(set(got)) and len(got) == 7 and fingerprints._bounds(at.limit(0), 8) == []
+
+
 def test_fingerprints_of_skewed_bags(spark):
     pairs, kinds = 30, {1000: 1000 / 1200, 100: 100 / 300}  # one common word so many times, and 100 words of each text's own
     own = lambda k, p, side: " ".join([f"c{k}x{p}"] * k + [f"w{k}x{p}x{side}x{i}" for i in range(100)])
