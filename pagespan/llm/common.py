@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 NO_ID = -(1 << 63)
 
 
-def prepare(spark: SparkSession) -> None:
-    """Arrow batches of bounded size, so that long texts don't add up in a Python worker."""
+def prepare(spark: SparkSession, batch: int = 16 << 20) -> None:
+    """Arrow batches of about `batch` bytes at most, so that long texts don't add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch))
 
 
 def partitions(spark: SparkSession) -> int:

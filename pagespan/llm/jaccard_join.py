@@ -32,7 +32,8 @@ SHINGLE, NUM, DEN = 5, 75, 100
 BLOCK, BLOCK_SETS = 12_000_000, 100_000
 #: Orders in which neighbours are compared before the tree is walked.
 ORDERS = 8
-CHUNK = 8 << 20
+#: Bytes of text of a chunk, and of the slices in which its sets are made; of an Arrow batch, which then holds one chunk.
+CHUNK, SLICE, BATCH = 8 << 20, 1 << 18, 4 << 20
 _KEY_BITS = 24  # of a shingle's hash within its bucket; collisions only move a shingle in the order
 
 
@@ -78,7 +79,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def row():
         ids = np.concatenate([x[0] for x in held])
         lens = np.concatenate([np.diff(x[2]) for x in held])
-        blob = struct.pack("<i", len(ids)) + ids.astype(np.int64).tobytes() + lens.astype(np.int64).tobytes() + b"".join(x[1].tobytes() for x in held)
+        blob = b"".join([struct.pack("<i", len(ids)), ids.astype(np.int64), lens.astype(np.int64), *(x[1] for x in held)])
         return pa.RecordBatch.from_arrays([pa.array([base + n]), pa.array([zstandard.ZstdCompressor(level=1).compress(blob)], pa.binary())], ["chunk", "blob"])
 
     for batch in batches:
@@ -94,25 +95,55 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Chunk:
-    """Documents of a chunk: ids, sets, set keys; `one` are the documents whose set is the first of its kind here."""
+    """Documents of a chunk: ids, sets, set keys; `one` are the documents whose set is the first of its kind here.
 
-    def __init__(self, blob: bytes) -> None:
+    A chunk has over a million shingles, and an executor runs several workers: sets are made by slices, and of the arrays
+    as long as the chunk few are held at once."""
+
+    def __init__(self, blob: pa.Buffer) -> None:
         x = zstandard.ZstdDecompressor().decompress(blob)
         (n,) = struct.unpack_from("<i", x)
-        self.ids = np.frombuffer(x, np.int64, n, 4)
+        self.ids = np.frombuffer(x, np.int64, n, 4).copy()
         off = np.concatenate([[0], np.cumsum(np.frombuffer(x, np.int64, n, 4 + 8 * n))])
-        self.h, self.first = shingle_sets(np.frombuffer(x, np.uint8, offset=4 + 16 * n), off)
-        self.n = np.diff(self.first)
-        self.k1, self.k2 = _set_keys(self.h, self.first)
+        buf, sets, i = np.frombuffer(x, np.uint8, offset=4 + 16 * n), [], 0
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE, "right")) - 1)
+            h, first = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            sets.append((h, np.diff(first), *_set_keys(h, first)))
+            i = j
+        self.h, self.n, self.k1, self.k2 = (np.concatenate(part) for part in zip(*sets, strict=True))
+        self.first = np.concatenate([[0], np.cumsum(self.n)])
         _, one = np.unique(self.k1, return_index=True)
         self.one = np.zeros(n, bool)
         self.one[one] = True
-
-    def shingles(self, n_bucket: int):
-        """Bucket and key in it of the shingles of `one`, in order of both; and where each shingle of h is among them."""
-        use = np.repeat(self.one, self.n)
-        value, at = np.unique((self.h[use] % np.uint64(n_bucket)) << np.uint64(32) | (self.h[use] >> np.uint64(64 - _KEY_BITS)), return_inverse=True)
-        return value, use, at
+        self.use = np.repeat(self.one, self.n)
+
+    def keys(self, n_bucket: int) -> np.ndarray:
+        """Bucket, and key in it, of the shingles of `one`."""
+        key = self.h[self.use]
+        low = key >> np.uint64(64 - _KEY_BITS)
+        key %= np.uint64(n_bucket)
+        key <<= np.uint64(32)
+        key |= low
+        return key
+
+    def grades(self, n_bucket: int, answers: list[dict]) -> np.ndarray:
+        """Grade of each shingle, of answers for all keys by bucket; 0 where `one` is not set."""
+        out = np.zeros(len(self.h), np.uint8)
+        if answers:
+            d, key = zstandard.ZstdDecompressor(), self.keys(n_bucket)
+            order = np.argsort(key)
+            first = _starts(key[order])
+            grade = np.concatenate([np.frombuffer(d.decompress(x["blob"]), np.uint8) for x in sorted(answers, key=lambda x: x["bucket"])])
+            mine = np.empty(len(key), np.uint8)
+            mine[order] = np.repeat(grade, np.diff(first, append=len(key)))
+            out[self.use] = mine
+        return out
+
+
+def _starts(v: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
 
 
 def _ask(n_bucket: int):
@@ -120,13 +151,16 @@ def _ask(n_bucket: int):
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                value, _, at = Chunk(blob.as_py()).shingles(n_bucket)
-                count = np.minimum(np.bincount(at, minlength=len(value)), 255).astype(np.uint8)
-                bucket, key = (value >> np.uint64(32)).astype(np.int64), (value & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+                value = Chunk(blob.as_buffer()).keys(n_bucket)
+                value.sort()
+                first = _starts(value)
+                count = np.minimum(np.diff(first, append=len(value)), 255).astype(np.uint8)
+                value = value[first]
+                bucket, key = (value >> np.uint64(32)).astype(np.int32), value.astype(np.uint32)
+                cut = _starts(bucket)
                 out = []
                 for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=False):
-                    step = np.diff(key[a:b], prepend=0).astype(np.uint32)
+                    step = np.diff(key[a:b], prepend=np.uint32(0))
                     out.append(z.compress(struct.pack("<i", b - a) + step.view(np.uint8).reshape(-1, 4).T.tobytes() + count[a:b].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array([chunk] * len(cut), pa.int64()), pa.array(out, pa.binary())], ["bucket", "chunk", "blob"])
 
@@ -141,12 +175,15 @@ def _answer(t: pa.Table) -> pa.Table:
         x = d.decompress(blob.as_py())
         (n,) = struct.unpack_from("<i", x)
         step = np.ascontiguousarray(np.frombuffer(x, np.uint8, 4 * n, 4).reshape(4, n).T).view(np.uint32).ravel()
-        keys.append(np.cumsum(step, dtype=np.int64))
+        keys.append(np.cumsum(step, dtype=np.uint32))
         counts.append(np.frombuffer(x, np.uint8, n, 4 + 4 * n))
-    total = np.zeros(1 << _KEY_BITS, np.int32)
-    for k, c in zip(keys, counts, strict=True):
-        total[k] += c  # a chunk names each key once
-    grades = [np.minimum(2 * np.log2(total[k]), 255).astype(np.uint8) for k in keys]
+    key = np.concatenate(keys)
+    order = np.argsort(key)
+    first = _starts(key[order])
+    total = np.add.reduceat(np.concatenate(counts)[order], first, dtype=np.int64)
+    grade = np.empty(len(key), np.uint8)
+    grade[order] = np.repeat(np.minimum(2 * np.log2(total), 255).astype(np.uint8), np.diff(first, append=len(key)))
+    grades = np.split(grade, np.cumsum([len(k) for k in keys])[:-1])
     return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "blob": pa.array([z.compress(g.tobytes()) for g in grades], pa.binary())})
 
 
@@ -155,32 +192,30 @@ _POSTED = "doc_id long, n long, k1 long, k2 long, items binary, bucket int, blob
 
 def _post(n_bucket: int):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = zstandard.ZstdDecompressor()
         names = [c.split()[0] for c in _POSTED.split(", ")]
         for batch in batches:
             for blob, answers in zip(batch.column("blob"), batch.column("answers"), strict=True):
-                c = Chunk(blob.as_py())
-                _, use, at = c.shingles(n_bucket)
-                got = sorted(answers.as_py() or [], key=lambda x: x["bucket"])
-                grade = np.zeros(len(c.h), np.uint8)
-                if got:
-                    grade[use] = np.concatenate([np.frombuffer(d.decompress(x["blob"]), np.uint8) for x in got])[at]
-                doc = np.repeat(np.arange(len(c.n)), c.n)
+                c = Chunk(blob.as_buffer())
+                grade = c.grades(n_bucket, answers.as_py())
                 p = np.where(c.one & (c.n > 0), c.n - (NUM * c.n + DEN - 1) // DEN + 1, 0)
-                order = np.argsort(doc * 256 + grade, kind="stable")  # by hash among equal grades
-                place = np.arange(len(order)) - c.first[doc]
-                mine = order[(place < p[doc]) & (grade[order] > 0)]
-                held = np.zeros(len(c.n), bool)
-                held[doc[mine]] = True
-                items = [c.h[a:b].tobytes() if k else None for a, b, k in zip(c.first[:-1].tolist(), c.first[1:].tolist(), held.tolist(), strict=True)]
+                posts = []
                 for s in range(0, len(c.n), 512):
                     e = min(s + 512, len(c.n))
-                    yield pa.RecordBatch.from_arrays([pa.array(c.ids[s:e]), pa.array(c.n[s:e]), pa.array(c.k1[s:e]), pa.array(c.k2[s:e]), pa.array(items[s:e], pa.binary()), pa.nulls(e - s, pa.int32()), pa.nulls(e - s, pa.binary())], names)
-                t = c.h[mine]
+                    a, b = c.first[s], c.first[e]
+                    doc = np.repeat(np.arange(s, e), c.n[s:e])
+                    order = np.argsort((doc - s) * 256 + grade[a:b], kind="stable")  # by hash among equal grades
+                    place = np.arange(a, b) - c.first[doc]
+                    mine = order[(place < p[doc]) & (grade[a:b][order] > 0)]
+                    posts.append((c.h[a:b][mine], doc[mine]))
+                    held = np.zeros(e - s, bool)
+                    held[doc[mine] - s] = True
+                    items = [c.h[i:j].tobytes() if k else None for i, j, k in zip(c.first[s:e].tolist(), c.first[s + 1 : e + 1].tolist(), held.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.ids[s:e]), pa.array(c.n[s:e]), pa.array(c.k1[s:e]), pa.array(c.k2[s:e]), pa.array(items, pa.binary()), pa.nulls(e - s, pa.int32()), pa.nulls(e - s, pa.binary())], names)
+                t, own = (np.concatenate(part) for part in zip(*posts, strict=True))
                 bucket = (t % np.uint64(n_bucket)).astype(np.int64)
                 o = np.argsort(bucket, kind="stable")
-                bucket, t, own = bucket[o], t[o], doc[mine][o]
-                cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+                bucket, t, own = bucket[o], t[o], own[o]
+                cut = _starts(bucket)
                 out = [t[a:b].tobytes() + c.k1[own[a:b]].tobytes() + c.n[own[a:b]].astype(np.int32).tobytes() for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=False)]
                 none = pa.nulls(len(cut), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(cut), pa.binary()), pa.array(bucket[cut].astype(np.int32)), pa.array(out, pa.binary())], names)
@@ -369,7 +404,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     Rows that share a doc_id are one document with several sets. Null ids come before all others.
     """
     spark = docs.sparkSession
-    prepare(spark)
+    prepare(spark, BATCH)
     rows = documents(docs)
     n = 4 * partitions(spark)
     chunks = durable(rows.mapInArrow(_chunks, "chunk long, blob binary"))

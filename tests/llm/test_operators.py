@@ -622,3 +622,37 @@ def test_many_near_sets_join_in_linear_time():
     began = time.process_time()
     links = jaccard_join.join_sets(sets)
     assert time.process_time() - began < 20 and len(links) == 11_999
+
+
+def test_jaccard_chunk_in_little_memory(monkeypatch):
+    """A worker's steps over a whole chunk: beyond it, a few arrays as long as its shingles; the sets are those of all texts at once."""
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    vocabulary = ["".join(x) for x in r.choice(list("abcdefghij"), (50_000, 5))]
+    texts = [" ".join(vocabulary[i] for i in r.integers(0, 50_000, n)) for n in r.integers(100, 700, 3_000)] + ["", "one", "two words"]
+    texts += texts[:50] + [t + " more" for t in texts[:50]]
+    monkeypatch.setattr(jaccard_join, "TaskContext", type("T", (), {"get": lambda: type("C", (), {"partitionId": lambda _: 0})()}))
+    peaks = {}
+
+    def peak(name, make):
+        tracemalloc.start()
+        out = make()
+        peaks[name] = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        return out
+
+    n_bucket = 16
+    (chunk,) = peak("chunks", lambda: list(jaccard_join._chunks(iter([pa.record_batch({"doc_id": np.arange(len(texts)), "text": texts})]))))
+    asked = peak("ask", lambda: list(jaccard_join._ask(n_bucket)(iter([chunk]))))
+    asked = pa.Table.from_batches(asked)
+    answers = [peak(f"answer {b}", lambda b=b: jaccard_join._answer(asked.filter(pa.array([x == b for x in asked["bucket"].to_pylist()])))).select(["bucket", "blob"]).to_pylist()[0] for b in range(n_bucket)]
+    joined = pa.RecordBatch.from_arrays([chunk.column("blob"), pa.array([answers])], ["blob", "answers"])
+    rows = peak("post", lambda: sum(x.num_rows for x in jaccard_join._post(n_bucket)(iter([joined]))))
+    assert rows == len(texts) + n_bucket
+
+    c = jaccard_join.Chunk(chunk.column("blob")[0].as_buffer())
+    data = [t.encode() for t in texts]
+    h, first = jaccard_join.shingle_sets(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    assert np.array_equal(c.h, h) and np.array_equal(c.first, first) and len(h) > 1_000_000
+    assert peaks.pop("chunks") < 30 and peaks.pop("ask") < 75 and peaks.pop("post") < 75 and max(peaks.values()) < 20
